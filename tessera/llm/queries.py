@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
-from tessera.llm import url_filter
+from tessera.llm import packing, sentencepiece_bpe, url_filter
 
 
 def table(spark, sf_dir, name):
@@ -21,14 +22,32 @@ URL_RULES = [
 ]
 
 
+def op3_sentencepiece(spark, sf_dir):
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    done = sentencepiece_bpe.encode_and_decode(table(spark, sf_dir, "documents"), model)
+    return done.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded"), 256).alias("decoded_sha256"),
+    )
+
+
 def op4_url_filter(spark, sf_dir):
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return url_filter.judge_urls(pages, rules).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op6_packing(spark, sf_dir):
+    pieces = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    crc = F.crc32("ids").alias("ids_crc32")
+    return pieces.select("doc_id", "start", "length", crc, "doc_tokens", "sequence_id", "offset")
+
+
 def queries():
-    return {"op4_url_filter": op4_url_filter}
+    made = [op3_sentencepiece, op4_url_filter, op6_packing]
+    return {f.__name__: f for f in made}
 
 
 SQL_OP4 = """
