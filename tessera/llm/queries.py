@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tessera.llm import packing, sentencepiece_bpe, url_filter
+from tessera.llm import packing, sentencepiece_bpe, token_files, url_filter
 
 
 def table(spark, sf_dir, name):
@@ -45,8 +45,15 @@ def op6_packing(spark, sf_dir):
     return pieces.select("doc_id", "start", "length", crc, "doc_tokens", "sequence_id", "offset")
 
 
+def op10_token_files(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    read = token_files.round_trip(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+    size = (F.length("ids") / 4).cast("long").alias("n_tokens")
+    return read.select("doc_id", "start", size, F.crc32("ids").alias("ids_crc32"))
+
+
 def queries():
-    made = [op3_sentencepiece, op4_url_filter, op6_packing]
+    made = [op3_sentencepiece, op4_url_filter, op6_packing, op10_token_files]
     return {f.__name__: f for f in made}
 
 
