@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tessera.llm import packing, sentencepiece_bpe, token_files, url_filter
+from tessera.llm import fuzzy_hash, packing, sentencepiece_bpe, token_files, url_filter
 
 
 def table(spark, sf_dir, name):
@@ -22,6 +22,12 @@ URL_RULES = [
 ]
 
 
+def op2_fuzzy_hash(spark, sf_dir):
+    done = fuzzy_hash.next_text_likeness(table(spark, sf_dir, "documents"))
+    sha = F.sha2("edited", 256).alias("edited_sha256")
+    return done.select("doc_id", "n_chars", sha, "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
 def op3_sentencepiece(spark, sf_dir):
     model = public_tokenizers.path("piece_bpe_32k.model")
     done = sentencepiece_bpe.encode_and_decode(table(spark, sf_dir, "documents"), model)
@@ -53,7 +59,7 @@ def op10_token_files(spark, sf_dir):
 
 
 def queries():
-    made = [op3_sentencepiece, op4_url_filter, op6_packing, op10_token_files]
+    made = [op2_fuzzy_hash, op3_sentencepiece, op4_url_filter, op6_packing, op10_token_files]
     return {f.__name__: f for f in made}
 
 
