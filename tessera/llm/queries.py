@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tessera.llm import fuzzy_hash, packing, sentencepiece_bpe, token_files, url_filter
+from tessera.llm import fuzzy_hash, packing, sentencepiece_bpe, token_files, url_filter, warc
 
 
 def table(spark, sf_dir, name):
@@ -51,6 +51,10 @@ def op6_packing(spark, sf_dir):
     return pieces.select("doc_id", "start", "length", crc, "doc_tokens", "sequence_id", "offset")
 
 
+def op9_warc(spark, sf_dir):
+    return warc.round_trip(table(spark, sf_dir, "pages"), min_revisit_bytes=0)
+
+
 def op10_token_files(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     read = token_files.round_trip(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
@@ -59,7 +63,7 @@ def op10_token_files(spark, sf_dir):
 
 
 def queries():
-    made = [op2_fuzzy_hash, op3_sentencepiece, op4_url_filter, op6_packing, op10_token_files]
+    made = [op2_fuzzy_hash, op3_sentencepiece, op4_url_filter, op6_packing, op9_warc, op10_token_files]
     return {f.__name__: f for f in made}
 
 
@@ -79,5 +83,21 @@ FROM hosts LEFT JOIN fits USING (r)
 """
 
 
+SQL_OP9 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+d AS (SELECT page_id, body, sha1(body) AS h, min(page_id) OVER (PARTITION BY body) AS first FROM p),
+digits AS (SELECT *, list_transform(range(8), lambda g: ('0x' || substr(h, CAST(5 * g + 1 AS BIGINT), 5))::BIGINT) AS fives FROM d)
+SELECT page_id, strlen(body)::BIGINT AS payload_bytes,
+  list_aggregate(list_transform(fives, lambda v:
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (v >> 15) % 32 + 1, 1) ||
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (v >> 10) % 32 + 1, 1) ||
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (v >> 5) % 32 + 1, 1) ||
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', v % 32 + 1, 1)), 'string_agg', '') AS payload_digest,
+  CASE WHEN page_id IS NULL OR page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to
+FROM digits
+"""
+
+
 def oracle_sql():
-    return {"op4_url_filter": SQL_OP4}
+    return {"op4_url_filter": SQL_OP4, "op9_warc": SQL_OP9}
