@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tessera.llm import fuzzy_hash, packing, sentencepiece_bpe, token_files, url_filter, warc
+from tessera.llm import fuzzy_hash, packing, sentencepiece_bpe, token_files, toxicity, url_filter, warc
 
 
 def table(spark, sf_dir, name):
@@ -45,6 +45,19 @@ def op4_url_filter(spark, sf_dir):
     return url_filter.judge_urls(pages, rules).select("page_id", "host", "path", "rule", "verdict")
 
 
+def _bucket(column, n):
+    return F.crc32(F.col(column).cast("string").cast("binary")) % n
+
+
+def op5_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels").where(_bucket("doc_id", 3) != 1)
+    model = toxicity.train(docs.where(_bucket("doc_id", 3) != 1), labels)
+    scored = toxicity.score(docs, model)
+    held_out = F.coalesce(_bucket("doc_id", 3) == 1, F.lit(False)).alias("held_out")
+    return scored.select("doc_id", held_out, "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op6_packing(spark, sf_dir):
     pieces = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     crc = F.crc32("ids").alias("ids_crc32")
@@ -63,7 +76,7 @@ def op10_token_files(spark, sf_dir):
 
 
 def queries():
-    made = [op2_fuzzy_hash, op3_sentencepiece, op4_url_filter, op6_packing, op9_warc, op10_token_files]
+    made = [op2_fuzzy_hash, op3_sentencepiece, op4_url_filter, op5_toxicity, op6_packing, op9_warc, op10_token_files]
     return {f.__name__: f for f in made}
 
 
