@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tessera.llm import fuzzy_hash, packing, sentencepiece_bpe, token_files, toxicity, url_filter, warc
+from tessera.llm import fuzzy_hash, kneser_ney, packing, sentencepiece_bpe, token_files, toxicity, url_filter, warc
 
 
 def table(spark, sf_dir, name):
@@ -64,6 +64,11 @@ def op6_packing(spark, sf_dir):
     return pieces.select("doc_id", "start", "length", crc, "doc_tokens", "sequence_id", "offset")
 
 
+def op7_quality(spark, sf_dir):
+    judged = kneser_ney.judge(table(spark, sf_dir, "documents"))
+    return judged.select("doc_id", *kneser_ney.BASE, "base_failed", "kept", "perplexity")
+
+
 def op9_warc(spark, sf_dir):
     return warc.round_trip(table(spark, sf_dir, "pages"), min_revisit_bytes=0)
 
@@ -76,7 +81,7 @@ def op10_token_files(spark, sf_dir):
 
 
 def queries():
-    made = [op2_fuzzy_hash, op3_sentencepiece, op4_url_filter, op5_toxicity, op6_packing, op9_warc, op10_token_files]
+    made = [op2_fuzzy_hash, op3_sentencepiece, op4_url_filter, op5_toxicity, op6_packing, op7_quality, op9_warc, op10_token_files]
     return {f.__name__: f for f in made}
 
 
