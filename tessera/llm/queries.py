@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tessera.llm import fuzzy_hash, kneser_ney, packing, sentencepiece_bpe, token_files, toxicity, url_filter, warc
+from tessera.llm import fuzzy_hash, kneser_ney, near_dedup, packing, sentencepiece_bpe, token_files, toxicity, url_filter, warc
 
 
 def table(spark, sf_dir, name):
@@ -22,6 +22,10 @@ URL_RULES = [
 ]
 
 
+def op1_near_dedup(spark, sf_dir):
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, threshold=80)
+
+
 def op2_fuzzy_hash(spark, sf_dir):
     done = fuzzy_hash.next_text_likeness(table(spark, sf_dir, "documents"))
     sha = F.sha2("edited", 256).alias("edited_sha256")
@@ -81,10 +85,24 @@ def op10_token_files(spark, sf_dir):
 
 
 def queries():
-    made = [op2_fuzzy_hash, op3_sentencepiece, op4_url_filter, op5_toxicity, op6_packing, op7_quality, op9_warc, op10_token_files]
+    made = [op1_near_dedup, op2_fuzzy_hash, op3_sentencepiece, op4_url_filter, op5_toxicity, op6_packing, op7_quality, op9_warc, op10_token_files]
     return {f.__name__: f for f in made}
 
 
+SQL_OP1 = """
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t-\r]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, unnest(list_distinct(CASE WHEN coalesce(len(w), 0) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END)) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+e AS (SELECT u, v FROM p JOIN n x ON x.doc_id = u JOIN n y ON y.doc_id = v WHERE 100 * k >= 80 * (x.n + y.n - k)),
+r(node, c) AS (SELECT doc_id, doc_id FROM documents UNION SELECT e.v, r.c FROM r JOIN e ON e.u = r.node WHERE r.c < e.v),
+m AS (SELECT node, min(c) AS c FROM r GROUP BY 1)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, m.c AS component_id, d.doc_id = m.c AS kept
+FROM documents d JOIN m ON m.node = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
+"""
+
 SQL_OP4 = """
 WITH rules(h, p, v) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'),
   ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
@@ -118,4 +136,4 @@ FROM digits
 
 
 def oracle_sql():
-    return {"op4_url_filter": SQL_OP4, "op9_warc": SQL_OP9}
+    return {"op1_near_dedup": SQL_OP1, "op4_url_filter": SQL_OP4, "op9_warc": SQL_OP9}
