@@ -4,6 +4,9 @@ A text becomes signs as the model's normalizer makes them: a space before it,
 and every space written as U+2581. No piece has that sign after another one, so
 the text is cut before each run of it, and every distinct part is encoded once.
 
+Neighbouring signs that stand together in no piece are never merged, so a new
+part is cut there as well, and its own parts are looked up first.
+
 A part is encoded left to right with the longest piece that an Aho-Corasick
 automaton finds at each position. A piece may follow another only if merging
 their joined signs anew gives the same two pieces; such answers are kept. Where
@@ -23,6 +26,7 @@ Rows are kept one for one; only the columns asked for are read.
 from __future__ import annotations
 
 import re
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -33,8 +37,8 @@ from pyspark.sql import functions as F
 from tessera.llm.common import batch, slices
 
 SPACE = "▁"
-#: Parts of texts and pairs of pieces that a worker keeps before it starts anew.
-MAX_PARTS, MAX_PAIRS = 500_000, 2_000_000
+#: Parts of texts (twice: the latest and the ones before) and pairs of pieces that a worker keeps.
+MAX_PARTS, MAX_PAIRS = 400_000, 2_000_000
 
 _PART = re.compile(f"{SPACE}+[^{SPACE}]*")
 _loaded: dict[str, "PieceModel"] = {}
@@ -74,13 +78,15 @@ class PieceModel:
         self.byte_ids = frozenset(self.bytes.values())
         self.special = frozenset(i for i, p in enumerate(proto.pieces) if p.type in (kinds.CONTROL, kinds.UNKNOWN))
 
+        self.whole = {piece for piece in self.ids if self.merged(piece) == [piece]}
         self.automaton = ahocorasick.Automaton()
-        for piece in self.ids:
-            if self.merged(piece) == [piece]:
-                self.automaton.add_word(piece, len(piece))
+        for piece in self.whole:
+            self.automaton.add_word(piece, len(piece))
         self.automaton.make_automaton()
         self.pairs: dict[tuple[str, str], bool] = {}
         self.parts: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
+        self.inside = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
 
     def merged(self, signs: str) -> list[str]:
         """Plain merging: the best-scored, then leftmost, pair whose join is a piece, until none is left."""
@@ -105,36 +111,56 @@ class PieceModel:
 
     def split(self, signs: str) -> list[str]:
         """The pieces of a part, by backtracking over the matches at each position."""
-        size = len(signs)
-        if signs in self.ids and self.automaton.exists(signs):
+        size, whole = len(signs), self.whole
+        if signs in whole:
             return [signs]
-        found: list[list[int]] = [[] for _ in range(size)]  # ends, longest last
-        for last, n in self.automaton.iter(signs):
-            found[last + 1 - n].append(last + 1)
-        for at in range(size):
-            if not found[at]:
-                found[at].append(at + 1)  # a sign without a piece stands alone
-        failed, out, at = 0, [], 0  # out: (start, end, matches left)
-        choice = len(found[0]) - 1
+        longest = list(range(1, size + 1))  # a sign without a piece stands alone
+        for last, n in self.automaton.iter(signs):  # in order of ends, so the longest comes last
+            longest[last + 1 - n] = last + 1
+        failed, out, at, end, pairs = 0, [], 0, longest[0], self.pairs
         while at < size:
-            while choice >= 0:
-                end = found[at][choice]
-                if not failed >> end & 1 and (
-                    not out or self.compatible(signs[out[-1][0] : out[-1][1]], signs[at:end])
-                ):
-                    break
-                choice -= 1
-            if choice >= 0:
-                out.append((at, end, choice))
+            before = out[-1] if out else None
+            while end > at:
+                piece = signs[at:end]
+                if not (failed and failed >> end & 1):
+                    if before is None:
+                        break
+                    fits = pairs.get((before, piece))
+                    if self.compatible(before, piece) if fits is None else fits:
+                        break
+                end -= 1
+                while end > at + 1 and signs[at:end] not in whole:
+                    end -= 1
+            if end > at:
+                out.append(piece)
                 at = end
-                choice = len(found[at]) - 1 if at < size else 0
-            else:
+                end = longest[at] if at < size else size
+            else:  # nothing fits here: mark it, and shorten the piece before
                 failed |= 1 << at
-                at, _, choice = out.pop()
-                choice -= 1
-        return [signs[a:b] for a, b, _ in out]
+                end = at - 1
+                at -= len(out.pop())
+                while end > at + 1 and signs[at:end] not in whole:
+                    end -= 1
+        return out
 
     def part_ids(self, signs: str) -> tuple[int, ...]:
+        """Ids of a new part, from the parts that it falls into."""
+        got = self.older.get(signs)
+        if got is None:
+            inside = self.inside
+            cuts = [i for i in range(1, len(signs)) if signs[i - 1 : i + 1] not in inside]
+            if cuts:
+                out: list[int] = []
+                for a, b in zip([0, *cuts], [*cuts, len(signs)]):
+                    some = signs[a:b]
+                    out += self.parts.get(some) or self.part_ids(some)
+                got = tuple(out)
+            else:
+                got = self._uncut_ids(signs)
+        self.parts[signs] = got
+        return got
+
+    def _uncut_ids(self, signs: str) -> tuple[int, ...]:
         out: list[int] = []
         for piece in self.split(signs):
             at = self.ids.get(piece)
@@ -154,12 +180,12 @@ class PieceModel:
         else:
             parts = [SPACE + p for p in text.split(" ")]
         if len(self.parts) > MAX_PARTS:
-            self.parts.clear()
+            self.older, self.parts = self.parts, {}
         kept, out = self.parts, []
         for p in parts:
             got = kept.get(p)
             if got is None:
-                got = kept[p] = self.part_ids(p)
+                got = self.part_ids(p)
             out += got
         return out
 
@@ -220,7 +246,7 @@ def encode_and_decode(docs: DataFrame, model_path: str, id_col: str = "doc_id",
         for b in slices(batches):
             ids = [pieces.encode(t) for t in b.column(1).to_pylist()]
             sizes = np.cumsum([0, *map(len, ids)], dtype=np.int32)
-            flat = pa.array(np.fromiter((i for x in ids for i in x), np.int32, int(sizes[-1])))
+            flat = pa.array(np.fromiter(chain.from_iterable(ids), np.int32, int(sizes[-1])))
             yield batch(_ARROW, [b.column(0), pa.ListArray.from_arrays(pa.array(sizes), flat), [pieces.decode(x) for x in ids]])
 
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
