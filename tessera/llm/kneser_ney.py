@@ -200,14 +200,15 @@ def measure(rows: DataFrame, parts, make) -> DataFrame:
             logs = np.zeros(len(grams))
             logs[own] = np.log10(sent.value.probability(grams[own]))
             total = np.concatenate([[0.0], np.cumsum(logs)])
-            # what does not depend on the model is counted with one part only
-            facts = np.array([base_facts(t) if mine[0] else (0,) * 5 for t in texts], float).reshape(-1, 5).T
-            signs = np.diff(edges) * float(mine[0])
-            return [total[edges[1:]] - total[edges[:-1]], signs, *map(pa.array, facts)]
+            return list((total[edges[1:]] - total[edges[:-1]])[:, None])
 
         return run
 
-    return ngrams.summed(rows, parts, sender, ["logp", "signs", *BASE])
+    def finish(texts, sums):
+        facts = np.array([(len(ngrams.stream(t)), *base_facts(t)) for t in texts], float).reshape(-1, 6).T
+        return [np.concatenate(sums) if sums else [], *map(pa.array, facts)]
+
+    return ngrams.folded(rows, parts, sender, finish, ["logp", "signs", *BASE])
 
 
 def bands(scored: DataFrame) -> DataFrame:

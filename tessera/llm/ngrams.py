@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import BinaryType, DoubleType, StructField, StructType
 
 from tessera.llm.common import batch, slices, stage, words
 
@@ -86,34 +86,30 @@ def parts_of(total: int, most: int = MAX_GRAMS) -> list[np.ndarray]:
     return [np.arange(k, 256, n) for k in range(n)]
 
 
-def summed(docs: DataFrame, parts: list, make, columns: list[str]) -> DataFrame:
-    """docs (doc_id, text and others) with sums over all model parts of what `make(part)` gives for each text.
+def folded(docs: DataFrame, parts: list, make, finish, columns: list[str]) -> DataFrame:
+    """docs (text and others) with columns worked out from sums over all model parts.
 
-    make(part) builds and sends one part and returns a function from texts to
-    columns of numbers. One part needs one pass. More parts, for models beyond
-    the bound of one, take a pass each; their sums meet by row hash.
+    make(part) builds and sends one part and returns a function from texts to an
+    array of floats for each; the arrays of all parts are added, and
+    finish(texts, sums) gives the columns. One part needs one pass over docs;
+    models beyond the bound of a part take a staged pass for each.
     """
-
-    def over(score, kept: DataFrame) -> DataFrame:
-        schema = to_arrow_schema(kept.schema)
-        for c in columns:
-            schema = schema.append(pa.field(c, pa.float64()))
-        at = kept.columns.index("text")
-
-        def run(batches):
-            for b in slices(batches, most_rows=4000, most_bytes=8 << 20):
-                yield batch(schema, [*b.columns, *score(b.column(at).to_pylist())])
-
-        spark_schema = StructType([*kept.schema.fields, *(StructField(c, DoubleType()) for c in columns)])
-        return kept.mapInArrow(run, spark_schema)
-
-    if len(parts) == 1:
-        return over(make(parts[0]), docs)
-    key = F.xxhash64("doc_id", "text")
-    done = None
-    for part in parts:
-        one = over(make(part), docs.select("doc_id", "text")).select(key.alias("h"), "doc_id", *columns)
-        one = stage(one.dropDuplicates(["doc_id", "h"]), "part-sums")
-        done = one if done is None else done.union(one)
-    total = done.groupBy(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).agg(*(F.sum(c).alias(c) for c in columns))
-    return docs.join(total, F.col("_h").eqNullSafe(key) & F.col("_id").eqNullSafe(F.col("doc_id")), "left").drop("_h", "_id")
+    at = docs.columns.index("text")
+    for i, part in enumerate(parts):
+        first, last = i == 0, i == len(parts) - 1
+        fields = [StructField(c, DoubleType()) for c in columns] if last else [StructField("_sums", BinaryType())]
+        wanted = StructType([*(f for f in docs.schema.fields if f.name != "_sums"), *fields])
+
+        def run(batches, add=make(part), first=first, last=last, schema=to_arrow_schema(wanted)):
+            for b in slices(batches, most_rows=2000, most_bytes=8 << 20):
+                texts, kept = b.column(at).to_pylist(), b.columns
+                got = add(texts)
+                if not first:
+                    got = [x + np.frombuffer(y) for x, y in zip(got, kept[-1].to_pylist(), strict=True)]
+                    kept = kept[:-1]
+                yield batch(schema, [*kept, *(finish(texts, got) if last else [[x.tobytes() for x in got]])])
+
+        docs = docs.mapInArrow(run, wanted)
+        if not last:
+            docs = stage(docs, "folded")
+    return docs

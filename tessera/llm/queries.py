@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tessera.llm import fuzzy_hash, kneser_ney, near_dedup, packing, sentencepiece_bpe, token_files, toxicity, url_filter, warc
+from tessera.llm import fuzzy_hash, kneser_ney, near_dedup, packing, pitman_yor, sentencepiece_bpe, token_files, toxicity, url_filter, warc
 
 
 def table(spark, sf_dir, name):
@@ -73,6 +73,13 @@ def op7_quality(spark, sf_dir):
     return judged.select("doc_id", *kneser_ney.BASE, "base_failed", "kept", "perplexity")
 
 
+def op8_pitman_yor(spark, sf_dir):
+    held_out = F.coalesce(_bucket("doc_id", 5) == 1, F.lit(False))
+    docs = table(spark, sf_dir, "documents").withColumn("trained", ~held_out)
+    done = pitman_yor.score(docs).withColumn("held_out", ~F.col("trained"))
+    return done.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op9_warc(spark, sf_dir):
     return warc.round_trip(table(spark, sf_dir, "pages"), min_revisit_bytes=0)
 
@@ -85,7 +92,7 @@ def op10_token_files(spark, sf_dir):
 
 
 def queries():
-    made = [op1_near_dedup, op2_fuzzy_hash, op3_sentencepiece, op4_url_filter, op5_toxicity, op6_packing, op7_quality, op9_warc, op10_token_files]
+    made = [op1_near_dedup, op2_fuzzy_hash, op3_sentencepiece, op4_url_filter, op5_toxicity, op6_packing, op7_quality, op8_pitman_yor, op9_warc, op10_token_files]
     return {f.__name__: f for f in made}
 
 
