@@ -5,6 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tessera.llm import fuzzy_hash, kneser_ney, near_dedup, packing, pitman_yor, sentencepiece_bpe, token_files, toxicity, url_filter, warc
 
 
@@ -93,7 +94,7 @@ def op10_token_files(spark, sf_dir):
 
 def queries():
     made = [op1_near_dedup, op2_fuzzy_hash, op3_sentencepiece, op4_url_filter, op5_toxicity, op6_packing, op7_quality, op8_pitman_yor, op9_warc, op10_token_files]
-    return {f.__name__: f for f in made}
+    return {f.__name__: f for f in made} | {"pipeline": corpus_pipeline.run}
 
 
 SQL_OP1 = """

@@ -320,3 +320,16 @@ def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_co
             yield batch(schema, [b.column(0), [s for s, _ in judged], spans])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, SCHEMA)
+
+
+def reject(docs: DataFrame, model: ToxicityModel, threshold: float, text_col: str = "text") -> DataFrame:
+    """docs, all columns, without the rows whose score reaches the threshold; map-only."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        for b in slices(batches):
+            scores = sent.value.judge(b.column(at).to_pylist())
+            yield b.filter(pa.array([s < threshold for s, _ in scores]))
+
+    return docs.mapInArrow(run, docs.schema)
