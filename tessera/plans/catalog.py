@@ -6,16 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.plans import codec_queries, pixel_queries
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError("flagship query")
+    """Tiles to BMP files, probed, decoded, and area-averaged to 3x3."""
+    return codec_queries.encode_probe_decode_scale(spark, sf_dir)
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return pixel_queries.queries() | codec_queries.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return pixel_queries.oracle_sql() | codec_queries.oracle_sql()
