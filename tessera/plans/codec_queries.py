@@ -1,13 +1,106 @@
-from tessera.plans import pixel_queries
+"""Queries that write tiles as files and read them back; lossless codecs have the tiles themselves as oracle."""
 
+from __future__ import annotations
 
-def encode_probe_decode_scale(spark, d):
-    return pixel_queries.a03_downscaled_5x3(spark, d)
+from pyspark.sql import functions as F
+
+from tessera.operators import pixels as px
+from tessera.plans.pixel_queries import FRAMES, TILES, _scale_sql
+from tessera.sources import images
+
+_made: dict[str, tuple] = {}
+
+
+def query(sql: str | None):
+    def add(f):
+        _made[f.__name__] = (f, sql)
+        return f
+
+    return add
 
 
 def queries():
-    return {}
+    return {name: f for name, (f, _) in _made.items()}
 
 
 def oracle_sql():
-    return {}
+    return {name: sql for name, (_, sql) in _made.items() if sql}
+
+
+@query(_scale_sql(3, 3))
+def encode_probe_decode_scale(spark, d):
+    """Tiles to BMP files; the probe decides which are decoded; pixels are averaged to 3x3."""
+    files = images.encode_images(px.tiles(spark, d), "bmp").withColumn("info", images.probe_column(F.col("content")))
+    good = files.where("info.is_decodable and info.width = 8 and info.height = 8")
+    return px.downscale(images.decode_pixels(good), 8, 8, 3, 3)
+
+
+SAME = TILES + " SELECT img_id, x, y, a, r, g, b FROM tiles"
+
+
+def _round_trip(spark, d, form):
+    return images.decode_pixels(images.encode_images(px.tiles(spark, d), form)).select(*px.PIXEL)
+
+
+@query(SAME)
+def r15_bmp_round_trip(spark, d):
+    return _round_trip(spark, d, "bmp")
+
+
+@query(SAME)
+def r15_png_round_trip(spark, d):
+    return _round_trip(spark, d, "png")
+
+
+@query(SAME)
+def r15_tiff_round_trip(spark, d):
+    return _round_trip(spark, d, "tiff")
+
+
+@query(TILES + " SELECT img_id, x, y, " + ", ".join(f"CASE WHEN a < 128 THEN 0 ELSE {v} END AS {c}" for c, v in (("a", "255::BIGINT"), ("r", "r"), ("g", "g"), ("b", "b"))) + " FROM tiles")
+def r15_gif_round_trip(spark, d):
+    return _round_trip(spark, d, "gif")
+
+
+@query(TILES + """ SELECT img_id, 'ok' AS status, 'PNG' AS format, 8 AS width, 8 AS height, 8 AS bit_depth, bool_or(a < 255) AS has_alpha,
+  1 AS frame_count, 1 AS page_count, 3 AS color_channels, true AS is_decodable FROM tiles GROUP BY img_id""")
+def s03_s06_probe_png(spark, d):
+    files = images.encode_images(px.tiles(spark, d), "png").withColumn("info", images.probe_column(F.col("content")))
+    names = ["status", "format", "width", "height", "bit_depth", "has_alpha", "frame_count", "page_count", "color_channels", "is_decodable"]
+    return files.select("img_id", *(F.col(f"info.{n}").alias(n) for n in names))
+
+
+def _animations(spark, d, form):
+    fr = px.frames(px.tiles(spark, d)).where("frame_idx < 4")
+    files = images.encode_animations(fr, form).select(F.col("anim_id").alias("img_id"), "content")
+    return files
+
+
+@query(FRAMES + " SELECT anim_id AS img_id, frame_idx, x, y, a, r, g, b FROM frames WHERE frame_idx < 4")
+def d07_apng_frames(spark, d):
+    return images.decode_pixels(_animations(spark, d, "png"), frames=True)
+
+
+@query(FRAMES + " SELECT anim_id AS img_id, frame_idx, x, y, " + ", ".join(f"CASE WHEN a < 128 THEN 0 ELSE {v} END AS {c}" for c, v in (("a", "255::BIGINT"), ("r", "r"), ("g", "g"), ("b", "b"))) + " FROM frames WHERE frame_idx < 4")
+def d07_gif_frames(spark, d):
+    return images.decode_pixels(_animations(spark, d, "gif"), frames=True)
+
+
+@query(FRAMES + " SELECT DISTINCT anim_id AS img_id, frame_idx AS page, 8::BIGINT AS width, 8::BIGINT AS height FROM frames WHERE frame_idx < 4")
+def s16_tiff_pages(spark, d):
+    return images.tiff_pages(_animations(spark, d, "tiff"))
+
+
+@query(FRAMES + " SELECT anim_id AS img_id, 'ok' AS status, count(DISTINCT frame_idx) AS frames, CASE WHEN count(DISTINCT frame_idx) = 1 THEN 1 ELSE 0 END AS plays FROM frames WHERE frame_idx < 4 GROUP BY anim_id")
+def d07_status(spark, d):
+    got = images.decode_status(_animations(spark, d, "png"))
+    return got.select("img_id", "status", "frames", F.col("plays").cast("int").alias("plays"))
+
+
+@query(None)
+def d02_pages_of_documents(spark, d):
+    """Documents' bytes are no images: every row must come back as malformed, none may end the job."""
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    head = F.element_at(F.array(*(F.unhex(F.lit(m)) for m in ("89504E470D0A1A0A", "424D", "474946383961", "49492A00"))), (F.col("doc_id") % 4 + 1).cast("int"))
+    files = docs.select(F.col("doc_id").alias("img_id"), F.concat(head, F.substring("text", 1, 200).cast("binary")).alias("content"))
+    return images.decode_status(files).select("img_id", "status")
