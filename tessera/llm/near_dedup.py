@@ -14,10 +14,11 @@ Only components are asked for, so pairs already known to be connected need no
 check. In each band, rounds of hubs come first: the member with most band mates
 is verified against the members that are not yet in its component, and
 components are joined. What still shares a band across components after ROUNDS
-rounds is compared in blocks of signatures, without a cap: members of a band
-are dealt to pairs of blocks, and only survivors leave a task. Their exact check
-follows, and the last joining of components. Hub and block groups are salted, so
-none is unbounded; texts travel compressed, and only those that share a band.
+rounds is compared in blocks, without a cap: members of a band are dealt to
+pairs of blocks, tested by signatures, verified within the task, and joined
+there, so that few links leave it. The last joining of components follows. Hub
+and block groups are salted, so none is unbounded; texts travel compressed, and
+only those that share a band.
 
 The miss rate of the bands for a pair at the threshold is (1 - 0.8^6)^32, about
 6e-5; the posterior bound adds about MISS.
@@ -48,9 +49,9 @@ SHINGLE, THRESHOLD = 5, 80
 BANDS, ROWS = 32, 6
 STEP = 32  # minima compared at a time
 MISS = 1e-6
-ROUNDS = 3
+ROUNDS = 2
 #: Members of a hub or of a band that one task compares at a time.
-BLOCK = 1000
+BLOCK = 500
 #: Words whose hashes a worker keeps before it starts anew.
 MAX_WORDS = 1_000_000
 
@@ -252,35 +253,67 @@ def _verified(pairs: DataFrame, signed: DataFrame, size: int, threshold: int, le
     return stage(rows.mapInArrow(run, "u long, v long"), "links")
 
 
-def _block_survivors(mates: DataFrame, signed: DataFrame, least: list[int]) -> DataFrame:
-    """Pairs (hub, node) of different components that share a band and survive the sequential test."""
+class _Sets:
+    """Shingle sets of a group's members, made when needed; at most HELD of their hashes are kept."""
+
+    HELD = 4_000_000
+
+    def __init__(self, z: list[bytes], size: int):
+        self.z, self.size, self.made, self.held = z, size, {}, 0
+        self.unzip = zstandard.ZstdDecompressor()
+
+    def __getitem__(self, i: int) -> np.ndarray:
+        got = self.made.get(i)
+        if got is None:
+            if self.held > self.HELD:
+                self.made.clear()
+                self.held = 0
+            text = self.unzip.decompress(self.z[i]).decode("utf-8", "surrogatepass")
+            got = self.made[i] = shingle_sets([text], self.size)[0]
+            self.held += len(got)
+        return got
+
+
+def _block_links(mates: DataFrame, signed: DataFrame, size: int, threshold: int, least: list[int]) -> DataFrame:
+    """Links between different components that share a band, verified on full sets within the task.
+
+    A pair is looked at in the first band that it shares, and not at all once
+    its two components are joined within the task, so a task emits fewer links
+    than it has members.
+    """
     sizes = mates.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     dealt = mates.join(sizes, "band").withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
     dealt = dealt.select("band", "node", "component", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     keys = (F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
-    rows = dealt.select("band", *keys, "own", "node", "component").join(signed.select("node", "sig"), "node")
-    rows = rows.select("band", "low", "high", "own", "node", "component", "sig")
-    rows = rows.repartition("band", "low", "high").sortWithinPartitions("band", "low", "high")
-    schema = pa.schema([("hub", pa.int64()), ("node", pa.int64())])
+    rows = dealt.select("band", *keys, "own", "node", "component").join(signed, "node")
+    rows = rows.select("band", "low", "high", "own", "node", "component", "sig", "z")
+    rows = rows.repartition("band", "low", "high").sortWithinPartitions("band", "low", "high", "node")
+    schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
     def compare(group):
         band, low, high = group[0][:3]
         own = np.array([g[3] for g in group])
-        node, comp = np.array([g[4] for g in group]), np.array([g[5] for g in group])
-        sigs = np.stack([np.frombuffer(g[6], np.uint32) for g in group])
+        node, comp = [g[4] for g in group], np.array([g[5] for g in group])
+        sigs, sets = np.stack([np.frombuffer(g[6], np.uint32) for g in group]), _Sets([g[7] for g in group], size)
+        keys = band_keys(sigs)
+        here = int(np.flatnonzero(keys[0] == band)[0])  # rows of a key have it in the same band
         right = np.flatnonzero(own == high)
         found = []
         for i in np.flatnonzero(own == low).tolist():
             some = right[right > i] if low == high else right
-            some = some[comp[some] != comp[i]]
-            if len(some):
-                alive = some[sequential(np.broadcast_to(sigs[i], (len(some), _SIZE)), sigs[some], least)]
-                found += [(int(min(node[i], node[j])), int(max(node[i], node[j]))) for j in alive]
+            some = some[(comp[some] != comp[i]) & ~(keys[some, :here] == keys[i, :here]).any(1)]
+            if not len(some):
+                continue
+            alive = some[sequential(np.broadcast_to(sigs[i], (len(some), _SIZE)), sigs[some], least)]
+            for j in alive.tolist():
+                if comp[j] != comp[i] and linked(sets[i], sets[j], threshold):
+                    found.append((node[i], node[j]))
+                    comp[comp == comp[j]] = comp[i]
         return found
 
     def run(batches):
         group = []
-        for b in slices(batches, most_rows=1000):
+        for b in slices(batches, most_rows=500):
             out = []
             for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if group and row[:3] != group[0][:3]:
@@ -292,7 +325,7 @@ def _block_survivors(mates: DataFrame, signed: DataFrame, least: list[int]) -> D
         if len(group) > 1 and (out := compare(group)):
             yield batch(schema, list(zip(*out, strict=True)))
 
-    return stage(rows.mapInArrow(run, "hub long, node long").distinct(), "block-survivors")
+    return stage(rows.mapInArrow(run, "u long, v long"), "links")
 
 
 def _labelled(mates: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -354,9 +387,8 @@ def near_duplicates(
         used = turn if used is None else used.union(turn)
     rest = _labelled(mates, labels)
     rest = rest if used is None else stage(rest.join(used, ["band", "node"], "left_anti"), "band-mates")
-    survivors = _block_survivors(rest, signed, least)
-    if not survivors.isEmpty():
-        new = _verified(survivors, signed, shingle, threshold, least)
+    new = _block_links(rest, signed, shingle, threshold, least)
+    if not new.isEmpty():
         links = new if links is None else links.union(new)
         labels = stage(components(links), "labels")
     return _result(found, nodes, labels)
