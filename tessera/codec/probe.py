@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import struct
 
-from tessera.codec import Malformed, Refused, Unsupported, bmp, check_budget, gif, png, tiff
+from tessera.codec import Malformed, Refused, Unsupported, bmp, check_budget, gif, jpeg, png, tiff
 
 FIELDS = [
     "format", "width", "height", "bit_depth", "has_alpha", "frame_count", "loop_count", "orientation", "is_decodable",
@@ -103,7 +103,10 @@ def _jpeg(data):
             if at + 10 > len(data):
                 break
             depth, height, width, parts = struct.unpack_from(">BHHB", data, at + 4)
-            return _info("JPEG", width, height, depth, False, parts, orientation=orientation, reason="JPEG: pixels are not decoded by this build")
+            reason = _budget(width, height, len(data), 8)
+            if marker > 0xC2 or depth != 8:
+                reason = f"JPEG: frame type {marker:#x} with {depth} bits"
+            return _info("JPEG", width, height, depth, False, parts, orientation=orientation, reason=reason)
         if marker in (0xD9, 0xDA) or size < 2:
             break
         at += 2 + size
@@ -198,7 +201,7 @@ def decode(data: bytes, page: int = 0):
         raise ValueError("only TIFF has further pages")
     if form == "TIFF":
         return tiff.decode(data, page)
-    tools = {"PNG": png, "BMP": bmp, "GIF": gif}
+    tools = {"PNG": png, "BMP": bmp, "GIF": gif, "JPEG": jpeg}
     if form is None:
         raise Malformed(f"unknown format: {len(data)} bytes, {data[:4].hex()}")
     if form not in tools:

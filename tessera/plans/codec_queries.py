@@ -104,3 +104,15 @@ def d02_pages_of_documents(spark, d):
     head = F.element_at(F.array(*(F.unhex(F.lit(m)) for m in ("89504E470D0A1A0A", "424D", "474946383961", "49492A00"))), (F.col("doc_id") % 4 + 1).cast("int"))
     files = docs.select(F.col("doc_id").alias("img_id"), F.concat(head, F.substring("text", 1, 200).cast("binary")).alias("content"))
     return images.decode_status(files).select("img_id", "status")
+
+
+@query(TILES + " SELECT img_id, 'ok' AS status, 'JPEG' AS format, 8 AS width, 8 AS height, 3 AS color_channels FROM tiles GROUP BY img_id")
+def s07_probe_jpeg(spark, d):
+    files = images.encode_images(px.tiles(spark, d), "jpeg").withColumn("info", images.probe_column(F.col("content")))
+    return files.select("img_id", *(F.col(f"info.{n}").alias(n) for n in ("status", "format", "width", "height", "color_channels")))
+
+
+@query(None)
+def f03_jpeg_pixels(spark, d):
+    """Tiles through the JPEG encoder and decoder: lossy, so without an exact oracle."""
+    return images.decode_pixels(images.encode_images(px.tiles(spark, d), "jpeg")).select(*px.PIXEL)
