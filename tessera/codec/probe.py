@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import struct
 
-from tessera.codec import Malformed, Refused, Unsupported, bmp, check_budget, gif, jpeg, png, tiff
+from tessera.codec import Malformed, Refused, Unsupported, bmp, check_budget, gif, jpeg, png, tiff, webp
 
 FIELDS = [
     "format", "width", "height", "bit_depth", "has_alpha", "frame_count", "loop_count", "orientation", "is_decodable",
@@ -143,7 +143,7 @@ def _tiff(data, page):
 
 
 def _webp(data):
-    size, alpha, frames, loops, at, image = None, False, 0, 1, 12, False
+    size, alpha, frames, loops, at, image, lossy = None, False, 0, 1, 12, False, False
     while at + 8 <= len(data):
         kind, n = data[at : at + 4], struct.unpack_from("<I", data, at + 4)[0]
         body = data[at + 8 : at + 8 + n]
@@ -154,19 +154,20 @@ def _webp(data):
             loops = struct.unpack_from("<H", body, 4)[0]
         elif kind == b"ANMF":
             frames, image = frames + 1, True
+            lossy = lossy or b"VP8 " in body[16:28]
         elif kind == b"VP8L" and len(body) >= 5:
             bits, image = struct.unpack_from("<I", body, 1)[0], True
             size = size or (1 + (bits & 0x3FFF), 1 + (bits >> 14 & 0x3FFF))
             alpha = alpha or bool(bits >> 28 & 1)
         elif kind == b"VP8 " and len(body) >= 10:
             w, h = struct.unpack_from("<HH", body, 6)
-            size, image = size or (w & 0x3FFF, h & 0x3FFF), True
+            size, image, lossy = size or (w & 0x3FFF, h & 0x3FFF), True, True
         elif kind == b"ALPH":
             alpha = True
         at += 8 + n + (n & 1)
     if size is None:
         raise Malformed("WEBP: no size")
-    reason = "WEBP: pixels are not decoded by this build" if image else "WEBP: no image"
+    reason = "WEBP: no image" if not image else "WEBP: lossy pictures are not decoded by this build" if lossy else _budget(*size, len(data), 8)
     return _info("WEBP", *size, 8, alpha, 3, max(frames, 1), loops, reason=reason)
 
 
@@ -201,7 +202,7 @@ def decode(data: bytes, page: int = 0):
         raise ValueError("only TIFF has further pages")
     if form == "TIFF":
         return tiff.decode(data, page)
-    tools = {"PNG": png, "BMP": bmp, "GIF": gif, "JPEG": jpeg}
+    tools = {"PNG": png, "BMP": bmp, "GIF": gif, "JPEG": jpeg, "WEBP": webp}
     if form is None:
         raise Malformed(f"unknown format: {len(data)} bytes, {data[:4].hex()}")
     if form not in tools:
@@ -216,4 +217,6 @@ def decode_frames(data: bytes, max_frames: int | None = None):
         return png.decode_frames(data, max_frames)
     if form == "GIF":
         return gif.decode_frames(data, max_frames)
+    if form == "WEBP":
+        return webp.decode_frames(data, max_frames)
     return [(decode(data), 0)], 1

@@ -116,3 +116,8 @@ def s07_probe_jpeg(spark, d):
 def f03_jpeg_pixels(spark, d):
     """Tiles through the JPEG encoder and decoder: lossy, so without an exact oracle."""
     return images.decode_pixels(images.encode_images(px.tiles(spark, d), "jpeg")).select(*px.PIXEL)
+
+
+@query(SAME)
+def r15_webp_round_trip(spark, d):
+    return _round_trip(spark, d, "webp")

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.codec import Malformed, Refused, Unsupported, bmp, gif, jpeg, png, probe, tiff
+from tessera.codec import Malformed, Refused, Unsupported, bmp, gif, jpeg, png, probe, tiff, webp
 
 #: Rows of an Arrow slice that are decoded together, and pixel rows of one result batch.
 ROWS, PIXELS = 32, 1 << 18
@@ -130,7 +130,7 @@ def tiff_pages(images: DataFrame, id_col: str = "img_id", content_col: str = "co
     return images.select(F.col(id_col).cast("bigint"), content_col).mapInArrow(run, "img_id bigint, page bigint, width bigint, height bigint")
 
 
-ENCODERS = {"jpeg": jpeg.encode, "png": png.encode, "bmp": bmp.encode, "gif": gif.encode, "tiff": lambda image: tiff.encode([image])}
+ENCODERS = {"jpeg": jpeg.encode, "png": png.encode, "bmp": bmp.encode, "gif": gif.encode, "tiff": lambda image: tiff.encode([image]), "webp": webp.encode}
 
 
 def _gathered(px: DataFrame, keys: list[str]) -> DataFrame:
