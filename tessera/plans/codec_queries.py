@@ -121,3 +121,21 @@ def f03_jpeg_pixels(spark, d):
 @query(SAME)
 def r15_webp_round_trip(spark, d):
     return _round_trip(spark, d, "webp")
+
+
+@query("SELECT vec_id AS img_id, 100.0::DOUBLE AS score FROM embeddings")
+def q01_score_of_lossless(spark, d):
+    """Tiles as PNG against the same tiles as BMP: every score is 100."""
+    t = px.tiles(spark, d)
+    left = images.encode_images(t, "png").withColumnRenamed("content", "left")
+    both = left.join(images.encode_images(t, "bmp").withColumnRenamed("content", "right"), "img_id")
+    return images.quality_scores(both, "left", "right").select("img_id", "score")
+
+
+@query(None)
+def q01_score_of_jpeg(spark, d):
+    """Tiles against their JPEG form; real numbers, so without an exact oracle."""
+    t = px.tiles(spark, d)
+    left = images.encode_images(t, "png").withColumnRenamed("content", "left")
+    both = left.join(images.encode_images(t, "jpeg").withColumnRenamed("content", "right"), "img_id")
+    return images.quality_scores(both, "left", "right").select("img_id", "score")

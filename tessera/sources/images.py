@@ -172,3 +172,21 @@ def encode_animations(fr: DataFrame, form: str, delay_ms: int = 100, plays: int
     rows = _gathered(fr, ["anim_id", "frame_idx"])
     listed = rows.groupBy("anim_id").agg(F.array_sort(F.collect_list(F.struct("frame_idx", "w", "h", "v"))).alias("frames"))
     return listed.select("anim_id", run("frames").alias("content"))
+
+
+def quality_scores(pairs: DataFrame, reference_col: str, distorted_col: str, out_col: str = "score") -> DataFrame:
+    """pairs with the perceptual score of two columns of file bytes; null where one can't be decoded or sizes differ."""
+    from tessera.codec import quality
+
+    @F.pandas_udf("double")
+    def run(left, right):
+        import pandas as pd
+
+        out = []
+        for a, b in zip(left, right, strict=True):
+            got = [guarded(lambda x=x: probe.decode(bytes(x)))[2] if x is not None else None for x in (a, b)]
+            same = got[0] is not None and got[1] is not None and got[0].shape == got[1].shape
+            out.append(quality.ssimulacra2(*got) if same else None)
+        return pd.Series(out, dtype="float64")
+
+    return pairs.withColumn(out_col, run(F.col(reference_col), F.col(distorted_col)))
