@@ -41,8 +41,8 @@ def test_kernel():
 def test_identity_and_order():
     image = scene()
     assert quality.ssimulacra2(image, image) == 100
-    scores = [quality.ssimulacra2(image, jpeg.decode(jpeg.encode(image, q))) for q in (10, 40, 75, 95)]
-    assert scores == sorted(scores) and scores[-1] > 70 and scores[0] < 60
+    scores = [quality.ssimulacra2(image, jpeg.decode(jpeg.encode(image, q))) for q in (10, 40, 75, 95, 100)]
+    assert scores == sorted(scores) and scores[-1] > 90 and scores[0] < 40
     assert quality.ssimulacra2(image[:7], image[:7] // 2) == 100  # too small to be scored
 
 
