@@ -473,49 +473,35 @@ def _events(blocks: np.ndarray, order: np.ndarray):
     return out
 
 
-def encode(image: np.ndarray, quality: int = 90) -> bytes:
-    """Baseline with optimal codes; chroma is halved both ways up to quality 90. Alpha is dropped."""
-    height, width = image.shape[:2]
-    if not 1 <= quality <= 100 or max(width, height) > 65535:
-        raise ValueError(f"quality {quality} or size {width}x{height}")
-    r, g, b = (image[..., i].astype(float) for i in range(3))
-    planes = [0.299 * r + 0.587 * g + 0.114 * b, -0.168735892 * r - 0.331264108 * g + 0.5 * b + 128, 0.5 * r - 0.418687589 * g - 0.081312411 * b + 128]
-    half = quality <= 90
-    unit = 16 if half else 8
-    pad = ((0, -height % unit), (0, -width % unit))
-    planes = [np.pad(p, pad, mode="edge") for p in planes]
-    if half:
-        planes[1:] = [p.reshape(p.shape[0] // 2, 2, p.shape[1] // 2, 2).mean((1, 3)) for p in planes[1:]]
-    tables = [_quality(LUMA, quality), _quality(CHROMA, quality), _quality(CHROMA, quality)]
-    blocks = [_forward(p, t) for p, t in zip(planes, tables)]
-    down, across = planes[0].shape[0] // unit, planes[0].shape[1] // unit
-    k = unit // 8
-    place = np.arange(len(blocks[0])).reshape(down, k, across, k).swapaxes(1, 2).reshape(-1)
-    events = [_events(blocks[0], place)] + [_events(x, np.arange(len(x))) for x in blocks[1:]]
-    counts: list[dict[int, int]] = [{}, {}, {}, {}]
-    for i, own in enumerate(events):
+def _entropy(units, count: int, bands: tuple[int, ...] = (0, 1)) -> tuple[list[bytes], bytes]:
+    """Huffman tables and scan data; units: (blocks, coding order, blocks a unit, table class) of each component.
+
+    bands: 0 for DC values, 1 for AC values, which a progressive scan has apart.
+    """
+    events = [[[e for e in one if e[0] in bands] for one in _events(blocks, order)] for blocks, order, _, _ in units]
+    counts: dict[int, dict[int, int]] = {}
+    for own, (_, _, _, kind_of) in zip(events, units):
         for one in own:
             for kind, symbol, _, _ in one:
-                table = counts[2 * min(i, 1) + kind]
+                table = counts.setdefault(2 * kind_of + kind, {})
                 table[symbol] = table.get(symbol, 0) + 1
-    coded, head = [], []
-    for i, table in enumerate(counts):
-        sizes, symbols = _code_lengths(table)
+    coded, head = {}, []
+    for i in sorted({2 * u[3] + kind for u in units for kind in bands}):
+        sizes, symbols = _code_lengths(counts.get(i) or {0: 1})
         code, codes, at = 0, {}, 0
         for n in range(1, 17):
             for _ in range(sizes[n - 1]):
                 codes[symbols[at]] = (code, n)
                 code, at = code + 1, at + 1
             code <<= 1
-        coded.append(codes)
+        coded[i] = codes
         head.append(bytes([(i % 2) << 4 | i // 2, *sizes, *symbols]))
     acc, n, out = 0, 0, bytearray()
-    for m in range(down * across):
-        for i, own in enumerate(events):
-            per = k * k if i == 0 else 1
+    for m in range(count):
+        for own, (_, _, per, kind_of) in zip(events, units):
             for one in own[m * per : (m + 1) * per]:
                 for kind, symbol, extra, size in one:
-                    code, bits = coded[2 * min(i, 1) + kind][symbol]
+                    code, bits = coded[2 * kind_of + kind][symbol]
                     acc, n = (acc << bits | code) << size | extra, n + bits + size
                     while n >= 8:
                         byte = acc >> (n - 8) & 255
@@ -525,6 +511,29 @@ def encode(image: np.ndarray, quality: int = 90) -> bytes:
     if n:
         byte = (acc << (8 - n) | (1 << (8 - n)) - 1) & 255
         out += b"\xff\0" if byte == 255 else bytes([byte])
+    return head, bytes(out)
+
+
+def encode(image: np.ndarray, quality: int = 90) -> bytes:
+    """Baseline with optimal codes; chroma is halved both ways up to quality 90. Alpha is dropped."""
+    height, width = image.shape[:2]
+    if not 1 <= quality <= 100 or max(width, height) > 65535:
+        raise ValueError(f"quality {quality} or size {width}x{height}")
+    r, g, b = (image[..., i].astype(float) for i in range(3))
+    planes = [0.299 * r + 0.587 * g + 0.114 * b, -0.168735892 * r - 0.331264108 * g + 0.5 * b + 128, 0.5 * r - 0.418687589 * g - 0.081312411 * b + 128]
+    half = quality <= 90
+    unit = 16 if half else 8
+    pad = ((0, -height % unit), (0, -width % unit))
+    planes = [np.pad(p, pad, mode="edge") for p in planes]
+    if half:
+        planes[1:] = [p.reshape(p.shape[0] // 2, 2, p.shape[1] // 2, 2).mean((1, 3)) for p in planes[1:]]
+    tables = [_quality(LUMA, quality), _quality(CHROMA, quality), _quality(CHROMA, quality)]
+    blocks = [_forward(p, t) for p, t in zip(planes, tables)]
+    down, across = planes[0].shape[0] // unit, planes[0].shape[1] // unit
+    k = unit // 8
+    place = np.arange(len(blocks[0])).reshape(down, k, across, k).swapaxes(1, 2).reshape(-1)
+    units = [(blocks[0], place, k * k, 0)] + [(x, np.arange(len(x)), 1, 1) for x in blocks[1:]]
+    head, out = _entropy(units, down * across)
 
     def segment(marker, body):
         return struct.pack(">BBH", 255, marker, len(body) + 2) + body
@@ -533,4 +542,70 @@ def encode(image: np.ndarray, quality: int = 90) -> bytes:
     parts = [b"\xff\xd8", segment(0xE0, b"JFIF\0\1\1\0\0\1\0\1\0\0")]
     parts += [segment(0xDB, bytes([i]) + tables[i][ZIGZAG].astype(np.uint8).tobytes()) for i in (0, 1)]
     parts += [segment(0xC0, frame), *(segment(0xC4, h) for h in head), segment(0xDA, bytes([3, 1, 0, 2, 0x11, 3, 0x11, 0, 63, 0]))]
-    return b"".join([*parts, bytes(out), b"\xff\xd9"])
+    return b"".join([*parts, out, b"\xff\xd9"])
+
+
+def _progressive_scans(d: _Decoder) -> list[tuple[int, bytes, bytes]]:
+    """(marker, body, data) segments: all DC values without their last bit, those bits, then each component's AC band."""
+    out, everyone = [], []
+    for c in d.parts:
+        at = np.arange(c.rows * c.columns).reshape(c.rows, c.columns)
+        own = at[: -(-c.height // 8), : -(-c.width // 8)].reshape(-1)
+        whole = own if len(d.parts) == 1 else at.reshape(d.down, c.v, d.across, c.h).swapaxes(1, 2).reshape(-1)
+        everyone.append((c, own, whole, 1 if len(d.parts) == 1 else c.v * c.h))
+    count = len(everyone[0][2]) // everyone[0][3]
+    coarse = []
+    for i, (c, _, whole, per) in enumerate(everyone):
+        dc = np.zeros((len(c.blocks), 64), np.int64)
+        dc[:, 0] = c.blocks[:, 0] >> 1
+        coarse.append((dc, whole, per, min(i, 1)))
+    head, data = _entropy(coarse, count, bands=(0,))
+    out += [(0xC4, h, b"") for h in head]
+    names = bytes([len(d.parts)]) + b"".join(bytes([c.name, 0x10 if i else 0]) for i, (c, *_) in enumerate(everyone))
+    out.append((0xDA, names + bytes([0, 0, 1]), data))
+    bits = [int(c.blocks[whole[m * per + j], 0]) & 1 for m in range(count) for c, _, whole, per in everyone for j in range(per)]
+    packed = np.packbits(np.array(bits + [1] * (-len(bits) % 8), np.uint8)).tobytes().replace(b"\xff", b"\xff\0")
+    out.append((0xDA, names + bytes([0, 0, 0x10]), packed))
+    for i, (c, own, _, _) in enumerate(everyone):
+        head, data = _entropy([(c.blocks[:, ZIGZAG], own, 1, min(i, 1))], len(own), bands=(1,))
+        out += [(0xC4, h, b"") for h in head]
+        out.append((0xDA, bytes([1, c.name, 0x01 if i else 0, 1, 63, 0]), data))
+    return out
+
+
+def repack(data: bytes, progressive: bool = False) -> bytes:
+    """The same pixels and other segments with optimal codes, in one scan or progressively; the file itself when that is not smaller."""
+    try:
+        d = _Decoder(data)
+        kept, tables = [], 0
+        for marker, body, _ in _segments(data):
+            if marker == 0xDB:
+                tables += 1
+            if marker not in (0xC0, 0xC1, 0xC2, 0xC4, 0xDA, 0xDD):
+                kept.append(struct.pack(">BBH", 255, marker, len(body) + 2) + body)
+        if tables > len(d.quant):  # a table given twice may differ between scans
+            return data
+        units, count = [], d.across * d.down
+        for i, c in enumerate(d.parts):
+            at = np.arange(c.rows * c.columns).reshape(c.rows, c.columns)
+            if len(d.parts) == 1:
+                at, per = at[: -(-c.height // 8), : -(-c.width // 8)], 1
+                count = at.size
+            else:
+                at, per = at.reshape(d.down, c.v, d.across, c.h).swapaxes(1, 2), c.v * c.h
+            units.append((c.blocks[:, ZIGZAG], at.reshape(-1), per, min(i, 1)))
+        if progressive:
+            scans = _progressive_scans(d)
+        else:
+            head, out = _entropy(units, count)
+            names = b"".join(bytes([c.name, 0x11 if i else 0]) for i, c in enumerate(d.parts))
+            scans = [*((0xC4, h, b"") for h in head), (0xDA, bytes([len(d.parts)]) + names + bytes([0, 63, 0]), out)]
+    except (Malformed, KeyError, struct.error, IndexError):
+        return data
+    n = len(d.parts)
+    frame = struct.pack(">BHHB", 8, d.size[1], d.size[0], n) + b"".join(bytes([c.name, c.h << 4 | c.v, c.table]) for c in d.parts)
+    parts = [b"\xff\xd8", *kept]
+    for marker, body, scan in [(0xC2 if progressive else 0xC0, frame, b""), *scans]:
+        parts.append(struct.pack(">BBH", 255, marker, len(body) + 2) + body + scan)
+    made = b"".join([*parts, b"\xff\xd9"])
+    return made if len(made) < len(data) else data

@@ -139,3 +139,40 @@ def q01_score_of_jpeg(spark, d):
     left = images.encode_images(t, "png").withColumnRenamed("content", "left")
     both = left.join(images.encode_images(t, "jpeg").withColumnRenamed("content", "right"), "img_id")
     return images.quality_scores(both, "left", "right").select("img_id", "score")
+
+
+@query("SELECT vec_id AS img_id, 0::BIGINT AS different FROM embeddings")
+def e11_repack_keeps_pixels(spark, d):
+    """Pixels of JPEG files before and after repacking; none may differ."""
+    files = images.encode_images(px.tiles(spark, d), "jpeg")
+    before = images.decode_pixels(files)
+    after = images.decode_pixels(files.withColumn("content", images.repack_column(F.col("content"), progressive=True)))
+    both = before.alias("p").join(after.alias("q"), ["img_id", "x", "y"], "full_outer")
+    same = (F.col("p.r") == F.col("q.r")) & (F.col("p.g") == F.col("q.g")) & (F.col("p.b") == F.col("q.b"))
+    wrong = F.sum(F.when(F.coalesce(same, F.lit(False)), 0).otherwise(1)).cast("bigint")
+    return both.groupBy("img_id").agg(wrong.alias("different"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN lang END AS xmp, CASE WHEN doc_id % 3 = 0 THEN 500 + doc_id % 100 END AS video_length FROM documents")
+def m01_m11_metadata(spark, d):
+    """XMP packets and motion photo marks written into JPEG files and read back."""
+    from tessera.codec import jpeg, metadata
+
+    @F.pandas_udf("binary")
+    def write(ids, langs):
+        import numpy as np
+
+        photo = jpeg.encode(np.full((8, 8, 4), 255, np.uint8))
+        out = []
+        for i, lang in zip(ids, langs, strict=True):
+            n = 500 + i % 100
+            xmp = lang if i % 2 == 0 else None
+            if i % 3 == 0:
+                xmp = (xmp or "") + f'\n<a GCamera:MicroVideo="1" GCamera:MicroVideoOffset="{n}"/>'
+            out.append(metadata.into_jpeg(photo, xmp=xmp) + (bytes(n) if i % 3 == 0 else b""))
+        return ids.map(dict(zip(ids, out, strict=True)))
+
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "lang")
+    files = docs.select("doc_id", write("doc_id", "lang").alias("content")).withColumn("m", images.metadata_column(F.col("content")))
+    first = F.nullif(F.substring_index("m.xmp", "\n", 1), F.lit(""))
+    return files.select("doc_id", first.alias("xmp"), F.col("m.video_length").alias("video_length"))

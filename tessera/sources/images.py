@@ -190,3 +190,36 @@ def quality_scores(pairs: DataFrame, reference_col: str, distorted_col: str, out
         return pd.Series(out, dtype="float64")
 
     return pairs.withColumn(out_col, run(F.col(reference_col), F.col(distorted_col)))
+
+
+def repack_column(content: Column, progressive: bool = False) -> Column:
+    """JPEG files with smaller codes and the same pixels; other bytes come back as they are."""
+
+    @F.pandas_udf("binary")
+    def run(data):
+        return data.map(lambda x: None if x is None else jpeg.repack(bytes(x), progressive))
+
+    return run(content)
+
+
+METADATA = "exif binary, xmp string, icc binary, video_offset bigint, video_length bigint, video_kind string"
+
+
+def metadata_column(content: Column) -> Column:
+    """EXIF, XMP and ICC blocks, and where a motion photo's video lies."""
+
+    @F.pandas_udf(METADATA)
+    def run(data):
+        import pandas as pd
+
+        from tessera.codec import metadata
+
+        rows = []
+        for x in data:
+            raw = bytes(x) if x is not None else b""
+            got, video = metadata.read(raw), metadata.motion_photo(raw) or (None, None, None)
+            rows.append((got["exif"], got["xmp"], got["icc"], *video))
+        out = pd.DataFrame(rows, columns=[c.split()[0] for c in METADATA.split(", ")])
+        return out.astype({"video_offset": "Int64", "video_length": "Int64"})
+
+    return run(content)
