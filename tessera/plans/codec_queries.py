@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.operators import pixels as px
-from tessera.plans.pixel_queries import FRAMES, TILES, _scale_sql
+from tessera.plans.pixel_queries import FRAMES, TILES, _reduce_sql, _scale_sql
 from tessera.sources import images
 
 _made: dict[str, tuple] = {}
@@ -176,3 +176,14 @@ def m01_m11_metadata(spark, d):
     files = docs.select("doc_id", write("doc_id", "lang").alias("content")).withColumn("m", images.metadata_column(F.col("content")))
     first = F.nullif(F.substring_index("m.xmp", "\n", 1), F.lit(""))
     return files.select("doc_id", first.alias("xmp"), F.col("m.video_length").alias("video_length"))
+
+
+@query(_scale_sql(3, 3))
+def d05_decode_scaled(spark, d):
+    """Files decoded into a 3x5 box within the task."""
+    return images.decode_pixels(images.encode_images(px.tiles(spark, d), "webp"), box=(3, 5)).select(*px.PIXEL)
+
+
+@query(_reduce_sql(4))
+def d04_decode_reduced(spark, d):
+    return images.decode_pixels(images.encode_images(px.tiles(spark, d), "png"), reduction=4).select(*px.PIXEL)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.codec import Malformed, Refused, Unsupported, bmp, gif, jpeg, png, probe, tiff, webp
+from tessera.codec import Malformed, Refused, Unsupported, bmp, gif, jpeg, png, probe, scale, tiff, webp
 
 #: Rows of an Arrow slice that are decoded together, and pixel rows of one result batch.
 ROWS, PIXELS = 32, 1 << 18
@@ -75,8 +75,24 @@ def _pixel_batches(img_id: int, frame: int, image: np.ndarray):
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], schema=_PIXEL_ARROW)
 
 
-def decode_pixels(images: DataFrame, id_col: str = "img_id", content_col: str = "content", frames: bool = False, max_frames: int | None = None, page: int = 0) -> DataFrame:
-    """Pixel rows of every file that decodes; with frames, of every composited frame."""
+def _upright(data: bytes, image: np.ndarray) -> np.ndarray:
+    status, _, info = guarded(lambda: probe.probe(data))
+    return scale.oriented(image, info["orientation"]) if status == "ok" else image
+
+
+def decode_pixels(
+    images: DataFrame, id_col: str = "img_id", content_col: str = "content", frames: bool = False, max_frames: int | None = None,
+    page: int = 0, upright: bool = False, box: tuple[int, int] | None = None, reduction: int = 1,
+) -> DataFrame:
+    """Pixel rows of every file that decodes; with frames, of every composited frame.
+
+    upright turns by EXIF; reduction averages blocks, box scales down into a
+    width and height, both within the task, so no full-size pixels leave it.
+    """
+
+    def fit(data, image):
+        image = scale.reduced(_upright(data, image) if upright else image, reduction)
+        return scale.scaled(image, *box) if box else image
 
     def run(batches):
         for b in batches:
@@ -92,7 +108,7 @@ def decode_pixels(images: DataFrame, id_col: str = "img_id", content_col: str =
                         status, _, got = guarded(lambda d=data: probe.decode(d, page))
                         shown = [got] if status == "ok" else []
                     for i, image in enumerate(shown):
-                        yield from _pixel_batches(img_id, i, image)
+                        yield from _pixel_batches(img_id, i, fit(data, image))
 
     return images.select(F.col(id_col).cast("bigint"), content_col).mapInArrow(run, _PIXEL_SCHEMA)
 

@@ -210,3 +210,41 @@ def test_exif_orientation():
             block = letters + struct.pack(order + "HIHHHIHHI", 42, 8, 1, 274, 3, 1, value, 0, 0)
             assert probe.exif_orientation(block) == (value if 1 <= value <= 8 else None)
     assert probe.exif_orientation(b"junk") is None
+
+
+@pytest.mark.parametrize("orientation", range(0, 10))
+def test_orientation_and_scaling_on_arrays(orientation):
+    from tessera.codec import scale
+
+    image = picture(5, 3)
+    got = scale.oriented(image, orientation)
+    for y in range(3):
+        for x in range(5):
+            r, b = 4 - x, 2 - y
+            nx = {2: r, 3: r, 5: y, 6: b, 7: b, 8: y}.get(orientation, x)
+            ny = {3: b, 4: b, 5: x, 6: x, 7: r, 8: r}.get(orientation, y)
+            assert (got[ny, nx] == image[y, x]).all()
+
+
+def test_area_average_by_hand():
+    from fractions import Fraction
+
+    from tessera.codec import scale
+
+    image = picture(7, 5)
+    for w, h in ((3, 2), (7, 1), (1, 5), (6, 4)):
+        got = scale.downscaled(image, w, h)
+        for ty in range(h):
+            for tx in range(w):
+                total, sums = Fraction(0), [Fraction(0)] * 4
+                for y in range(5):
+                    for x in range(7):
+                        wy = max(Fraction(0), min(Fraction(y + 1), Fraction((ty + 1) * 5, h)) - max(Fraction(y), Fraction(ty * 5, h)))
+                        wx = max(Fraction(0), min(Fraction(x + 1), Fraction((tx + 1) * 7, w)) - max(Fraction(x), Fraction(tx * 7, w)))
+                        a = int(image[y, x, 3])
+                        total += wx * wy
+                        sums = [s + wx * wy * (a if c == 3 else a * int(image[y, x, c])) for c, s in enumerate(sums)]
+                want = [int(sums[c] / sums[3] + Fraction(1, 2)) if sums[3] else 0 for c in range(3)]
+                assert got[ty, tx].tolist() == [*want, int(sums[3] / total + Fraction(1, 2))]
+    assert scale.reduced(image, 8).shape == (1, 1, 4) and scale.reduced(image, 1) is image
+    assert scale.fitted(100, 50, 30, 30) == (30, 15) and scale.fitted(3, 4, 9, 9) == (3, 4)
