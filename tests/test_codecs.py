@@ -248,3 +248,29 @@ def test_area_average_by_hand():
                 assert got[ty, tx].tolist() == [*want, int(sums[3] / total + Fraction(1, 2))]
     assert scale.reduced(image, 8).shape == (1, 1, 4) and scale.reduced(image, 1) is image
     assert scale.fitted(100, 50, 30, 30) == (30, 15) and scale.fitted(3, 4, 9, 9) == (3, 4)
+
+
+def _box(kind, body):
+    return struct.pack(">I4s", 8 + len(body), kind) + body
+
+
+def test_probes_of_late_formats():
+    props = _box(b"ispe", struct.pack(">III", 0, 640, 480)) + _box(b"pixi", bytes([0, 0, 0, 0, 3, 10, 10, 10])) + _box(b"irot", b"\3")
+    avif = _box(b"ftyp", b"avif\0\0\0\0avif") + _box(b"meta", bytes(4) + _box(b"iprp", _box(b"ipco", props)))
+    info = probe.probe(avif)
+    assert (info["format"], info["width"], info["height"], info["bit_depth"], info["orientation"], info["is_decodable"]) == ("AVIF", 640, 480, 10, 6, False)
+    value, n = 0, 0
+    for v, k in ((0, 1), (1, 2), (479, 13), (0, 3), (1, 2), (639, 13)):
+        value, n = value | v << n, n + k
+    codestream = b"\xff\x0a" + value.to_bytes(12, "little")
+    whole = _box(b"JXL ", b"\r\n\x87\n") + _box(b"jxlc", codestream)
+    for data in (codestream, whole):
+        info = probe.probe(data)
+        assert (info["format"], info["width"], info["height"]) == ("JXL", 640, 480)
+    jxr = b"II\xbc\x01" + struct.pack("<IH", 8, 2) + struct.pack("<HHII", 0xBC80, 4, 1, 33) + struct.pack("<HHII", 0xBC81, 4, 1, 44) + bytes(4)
+    info = probe.probe(jxr)
+    assert (info["format"], info["width"], info["height"]) == ("JXR", 33, 44)
+    for data in (avif, whole, jxr):
+        for cut in range(4, len(data), 3):
+            assert guarded(lambda d=data[:cut]: probe.probe(d))[0] in ("ok", "malformed", "unsupported", "refused")
+        assert guarded(lambda d=data: probe.decode(d))[0] == "unsupported"
