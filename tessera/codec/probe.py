@@ -302,3 +302,24 @@ def decode_frames(data: bytes, max_frames: int | None = None):
     if form == "WEBP":
         return webp.decode_frames(data, max_frames)
     return [(decode(data), 0)], 1
+
+
+def decode16(data: bytes, page: int = 0):
+    """Samples (height, width, channels) of 16 bits: gray, gray and alpha, colour, or colour and alpha.
+
+    PNG and TIFF keep their depth; other formats' bytes are widened.
+    """
+    import numpy as np
+
+    form = sniff(data)
+    if page and form != "TIFF":
+        raise ValueError("only TIFF has further pages")
+    if form == "TIFF":
+        raw, f = tiff.samples16(data, page)
+        if f["photometric"] in (1, 2) and len(f["extra"]) == raw.shape[2] - (3 if f["photometric"] == 2 else 1) <= 1 and f["extra"] != [1]:
+            return (raw.astype(np.uint32) * 65535 // ((1 << f["bits"]) - 1)).astype(np.uint16)
+    if form == "PNG":
+        wide, colour = png.decode16(data), data[25]
+        return {0: wide[..., :1], 4: wide[..., [0, 3]], 2: wide[..., :3]}.get(colour, wide) if (wide[..., 3] == 65535).all() or colour != 2 else wide
+    image = decode(data, page)
+    return image.astype(np.uint16) * 257

@@ -187,3 +187,10 @@ def d05_decode_scaled(spark, d):
 @query(_reduce_sql(4))
 def d04_decode_reduced(spark, d):
     return images.decode_pixels(images.encode_images(px.tiles(spark, d), "png"), reduction=4).select(*px.PIXEL)
+
+
+@query(TILES + """, z AS (SELECT img_id, bool_or(a < 255) AS alpha FROM tiles GROUP BY img_id),
+  s AS (SELECT img_id, x, y, unnest([0, 1, 2, 3]) AS c, unnest([r, g, b, a]) * 257 AS v FROM tiles)
+  SELECT img_id, x, y, c::BIGINT AS c, v FROM s JOIN z USING (img_id) WHERE c < 3 OR alpha""")
+def d03_samples16(spark, d):
+    return images.decode_samples16(images.encode_images(px.tiles(spark, d), "tiff16"))

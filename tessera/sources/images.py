@@ -146,7 +146,7 @@ def tiff_pages(images: DataFrame, id_col: str = "img_id", content_col: str = "co
     return images.select(F.col(id_col).cast("bigint"), content_col).mapInArrow(run, "img_id bigint, page bigint, width bigint, height bigint")
 
 
-ENCODERS = {"jpeg": jpeg.encode, "png": png.encode, "bmp": bmp.encode, "gif": gif.encode, "tiff": lambda image: tiff.encode([image]), "webp": webp.encode}
+ENCODERS = {"jpeg": jpeg.encode, "png": png.encode, "bmp": bmp.encode, "gif": gif.encode, "tiff": lambda image: tiff.encode([image]), "webp": webp.encode, "tiff16": lambda image: tiff.encode([image.astype(np.uint16) * 257])}
 
 
 def _gathered(px: DataFrame, keys: list[str]) -> DataFrame:
@@ -239,3 +239,24 @@ def metadata_column(content: Column) -> Column:
         return out.astype({"video_offset": "Int64", "video_length": "Int64"})
 
     return run(content)
+
+
+def decode_samples16(images: DataFrame, id_col: str = "img_id", content_col: str = "content", page: int = 0) -> DataFrame:
+    """img_id, x, y, c, v: 16-bit samples of every file that decodes, in its own channels."""
+    schema = pa.schema([(n, pa.int64()) for n in ("img_id", "x", "y", "c", "v")])
+
+    def run(batches):
+        for b in batches:
+            for img_id, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                status, _, got = guarded(lambda d=data: probe.decode16(d, page)) if data is not None else ("malformed", None, None)
+                if status != "ok":
+                    continue
+                height, width, n = got.shape
+                rows = max(1, PIXELS // (width * n))
+                for y in range(0, height, rows):
+                    part = got[y : y + rows]
+                    ys, xs, cs = (g.reshape(-1) for g in np.indices(part.shape))
+                    cols = [np.full(part.size, img_id), xs, ys + y, cs, part.reshape(-1).astype(np.int64)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], schema=schema)
+
+    return images.select(F.col(id_col).cast("bigint"), content_col).mapInArrow(run, "img_id bigint, x bigint, y bigint, c bigint, v bigint")
