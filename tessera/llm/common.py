@@ -75,7 +75,7 @@ def batch(schema: pa.Schema, columns: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, schema=schema)
 
 
-def slices(batches, most_rows: int = 2000, most_bytes: int = 16 << 20):
+def slices(batches, most_rows: int = 2000, most_bytes: int = 4 << 20):
     """Cuts Arrow batches so that a slice holds few rows and few bytes; a longer single row is a slice of its own."""
     for b in batches:
         if b.num_rows == 0:

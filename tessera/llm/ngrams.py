@@ -58,10 +58,10 @@ def count_grams(docs: DataFrame, order: int, text_col: str = "text") -> DataFram
             total[at[len(held[0]) :]] += n
             held[:] = every, total
 
-        for b in slices(batches, most_rows=4000, most_bytes=8 << 20):
+        for b in slices(batches, most_rows=2000, most_bytes=4 << 20):
             keys, _ = gram_keys([stream(t) for t in b.column(0).to_pylist()], order)
             merge(*np.unique(keys, return_counts=True))
-            if len(held[0]) > 4_000_000:
+            if len(held[0]) > 2_000_000:
                 yield batch(schema, [pa.array(x) for x in held])
                 held[:] = np.zeros(0, np.int64), np.zeros(0, np.int64)
         yield batch(schema, [pa.array(x) for x in held])
@@ -101,7 +101,7 @@ def folded(docs: DataFrame, parts: list, make, finish, columns: list[str]) -> Da
         wanted = StructType([*(f for f in docs.schema.fields if f.name != "_sums"), *fields])
 
         def run(batches, add=make(part), first=first, last=last, schema=to_arrow_schema(wanted)):
-            for b in slices(batches, most_rows=2000, most_bytes=8 << 20):
+            for b in slices(batches, most_rows=1000, most_bytes=2 << 20):
                 texts, kept = b.column(at).to_pylist(), b.columns
                 got = add(texts)
                 if not first:

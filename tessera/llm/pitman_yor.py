@@ -51,9 +51,9 @@ from tessera.llm import ngrams
 from tessera.llm.common import batch, slices, stage, words
 
 ORDER = 6
-SAMPLES, BURN_IN, ROUNDS = 3, 2, 2
+SAMPLES, BURN_IN, ROUNDS = 3, 1, 2
 CONCENTRATION = 1.0
-TURNS = 16
+TURNS = 8
 
 
 def seat(n: np.ndarray, at: np.ndarray, parent: np.ndarray, discount: float, theta: float, rng) -> np.ndarray:
@@ -62,22 +62,29 @@ def seat(n: np.ndarray, at: np.ndarray, parent: np.ndarray, discount: float, the
     n: customers of each dish; at: its restaurant, numbered from 0; parent: the
     dish's predictive probability in the parent restaurant.
     """
-    tables, seated = np.zeros(len(n), np.int64), np.zeros(len(n), np.int64)
-    total, phase = np.zeros(int(at.max(initial=-1)) + 1), rng.random(len(n))
+    tables, total = np.minimum(n, 1).astype(np.int64), np.zeros(int(at.max(initial=-1)) + 1)
+    alone = np.flatnonzero(n == 1)  # one customer, one table: only the turn is random
+    turns = rng.integers(0, TURNS, len(alone))
+    alone, starts = at[alone[np.argsort(turns, kind="stable")]], np.searchsorted(np.sort(turns), np.arange(TURNS + 1))
+    more = np.flatnonzero(n > 1)
+    n, at, parent = n[more], at[more], parent[more]
+    own, seated, phase = np.zeros(len(n), np.int64), np.zeros(len(n), np.int64), rng.random(len(n))
     for turn in range(1, TURNS + 1):  # every dish's customers come spread over the turns
+        total += np.bincount(alone[starts[turn - 1] : starts[turn]], minlength=len(total))
         upto = n if turn == TURNS else np.minimum(n, np.floor(n * (turn / TURNS) + phase).astype(np.int64))
         first = np.flatnonzero((seated == 0) & (upto > 0))
-        tables[first] = seated[first] = 1
+        own[first] = seated[first] = 1
         total += np.bincount(at[first], minlength=len(total))
         live = np.flatnonzero(seated < upto)
         while len(live):
             some = np.minimum(np.maximum(1, seated[live] // 2), upto[live] - seated[live])
             new = (theta + discount * total[at[live]]) * parent[live]
-            opened = rng.binomial(some, new / (seated[live] - discount * tables[live] + new))
-            tables[live] += opened
-            total += np.bincount(at[live], opened, len(total))
+            opened = rng.binomial(some, new / (seated[live] - discount * own[live] + new))
+            own[live] += opened
+            np.add.at(total, at[live], opened)
             seated[live] += some
             live = live[seated[live] < upto[live]]
+    tables[more] = own
     return tables
 
 
@@ -124,7 +131,7 @@ class Lookup:
     """Open addressing over sorted 64-bit keys: home slots by multiplication, then the next free ones."""
 
     def __init__(self, keys: np.ndarray):
-        self.bits = max(4, int(len(keys) * 3).bit_length())
+        self.bits = max(4, int(len(keys) * 3 // 2).bit_length())
         home = self._home(keys)
         by = np.argsort(home, kind="stable")
         line = np.arange(len(keys))
@@ -164,18 +171,19 @@ class PitmanYor:
     def __getstate__(self):
         return {"levels": self.levels, "tables": None}
 
-    def probability(self, grams: np.ndarray) -> np.ndarray:
-        """Mean over the samples of the probability of each gram's last byte."""
-        if self.tables is None:
+    def log10(self, grams: np.ndarray) -> np.ndarray:
+        """Logarithm of the mean over the samples of the chance of each gram's last byte."""
+        if self.tables is None:  # the worker's own lookups take the place of the sorted keys
             self.tables = [(Lookup(g), Lookup(c)) for g, _, c, _ in self.levels]
-        out = np.zeros(len(grams), np.float32)
-        at = self.tables[-1][0].find(grams) if self.levels else np.full(len(grams), -1)
-        hit = at >= 0
-        if hit.any():
-            out[hit] = self.levels[-1][1].mean(1)[at[hit]]
-        rest = np.flatnonzero(~hit)
+            self.levels = [(None, p, None, w) for _, p, _, w in self.levels]
+            self.whole = np.log10(self.levels[-1][1].mean(1)) if self.levels else np.zeros(0, np.float32)
+        if not self.levels:
+            return np.full(len(grams), -np.log10(256))
+        at = self.tables[-1][0].find(grams)
+        rest = np.flatnonzero(at < 0)
+        out = self.whole[at]
         if len(rest):
-            out[rest] = self._samples(len(self.levels) - 1, grams[rest]).mean(1)
+            out[rest] = np.log10(self._samples(len(self.levels) - 1, grams[rest]).mean(1))
         return out
 
     def _samples(self, k: int, grams: np.ndarray) -> np.ndarray:
@@ -333,7 +341,7 @@ class _WordCounts(dict):
 
 
 #: Words that a worker keeps with their counts before it starts anew.
-MAX_WORDS = 700_000
+MAX_WORDS = 300_000
 
 COLUMNS = ["n_tokens", "n_known", "base_score", "score"]
 
@@ -380,10 +388,12 @@ def score(
             get, end = held["counts"].__getitem__, float(ends) if index == 0 else 0.0
             streams = [ngrams.stream(t) for t in texts]
             grams, edges = ngrams.gram_keys(streams, order)
-            own = mine[(grams >> 8) & 255]
-            logs = np.zeros(len(grams))
-            logs[own] = np.log10(sent.value.probability(grams[own]))
-            upto = np.concatenate([[0.0], np.cumsum(logs)])
+            if n == 1:
+                logs = sent.value.log10(grams)
+            else:
+                own, logs = mine[(grams >> 8) & 255], np.zeros(len(grams), np.float32)
+                logs[own] = sent.value.log10(grams[own])
+            upto = np.concatenate([[0.0], np.cumsum(logs, dtype=float)])
             sign = grams & 255
             closes = np.flatnonzero((sign == 32) | (sign == 10)) + 1
             spelled = np.diff(upto[np.concatenate([[0], closes])])
