@@ -31,6 +31,8 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from array import array
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -40,13 +42,17 @@ from pyspark.sql import functions as F
 from tessera.llm.common import batch, slices
 
 #: Documents of each class that the CRF and the score are fitted on, at most.
-SAMPLE = 1500
+SAMPLE = 500
 WEIGHTS = 1 << 18
-EPOCHS, RATE, DECAY = 40, 0.5, 1e-5
+EPOCHS, RATE, DECAY = 30, 0.5, 1e-5
+#: Tokens whose messages are computed side by side; a longer document is a chunk of its own.
+CHUNK = 200_000
 #: A start must be LIFT times as frequent in toxic documents, and unlikely by chance among CHANCE starts a document.
 LIFT, CHANCE = 10.0, 10
+#: Labels (12 bytes a row) that are sent to all executors rather than shuffled together with the texts.
+SMALL_ROWS = 1_000_000
 #: Words that a worker keeps with their scores before it starts anew.
-MAX_WORDS = 500_000
+MAX_WORDS = 100_000
 
 TOKEN = re.compile(r"[^\W\d_]+")
 
@@ -73,43 +79,58 @@ def marginals(scores: np.ndarray, begins: np.ndarray, trans: np.ndarray, start:
     n = len(scores)
     if n == 0:
         return np.zeros(0)
+    if n > CHUNK:  # in chunks of whole documents, for bounded memory
+        first = np.flatnonzero(begins)
+        cut = first[np.searchsorted(first, np.arange(0, n, CHUNK))[1:].clip(max=len(first) - 1)]
+        cuts = [0, *(int(c) for c in np.unique(cut) if c), n]
+        if len(cuts) > 2:
+            return np.concatenate([marginals(scores[a:b], begins[a:b], trans, start) for a, b in zip(cuts, cuts[1:])])
     width = max(1, math.isqrt(n))
     segments = -(-n // width)
-    emit = np.zeros((segments * width, 2))
-    emit[:n, 1] = np.clip(scores, -60, 60)
-    emit -= emit.max(1, keepdims=True)
-    step = np.exp(trans)[None] * np.exp(emit)[:, None, :]
-    fresh = np.zeros(segments * width, bool)
+    emit = np.zeros((2, segments * width))
+    emit[1, :n] = np.clip(scores, -60, 60)
+    emit = np.exp(emit - emit.max(0))
+    fresh = np.ones(segments * width, bool)
     fresh[:n] = begins
-    fresh[n:] = True
-    step[fresh] = (np.exp(start)[None] * np.exp(emit[fresh]))[:, None, :]
-    step = step.reshape(segments, width, 2, 2)
-
-    def products(m):
-        out = np.empty_like(m)
-        out[:, 0] = m[:, 0]
-        for t in range(1, width):
-            now = out[:, t - 1] @ m[:, t]
-            out[:, t] = now / now.sum((1, 2), keepdims=True)
-        return out
-
-    ahead = products(step)
-    into = np.full((segments, 2), 0.5)
+    # entries 00, 01, 10, 11 of each token's matrix, by place in the segment and segment
+    step = np.empty((4, segments * width))
+    for k in range(4):
+        i, j = divmod(k, 2)
+        step[k] = np.where(fresh, math.exp(start[j]), math.exp(trans[i, j])) * emit[j]
+    step = np.ascontiguousarray(step.reshape(4, segments, width).transpose(0, 2, 1))
+
+    ahead, back = np.empty_like(step), np.empty_like(step)
+    ahead[:, 0], back[:, -1] = step[:, 0], step[:, -1]
+    for t in range(1, width):
+        _multiply(ahead[:, t - 1], step[:, t], ahead[:, t])
+    for t in range(width - 2, -1, -1):
+        _multiply(step[:, t], back[:, t + 1], back[:, t])
+
+    into, out_of = np.full((2, segments), 0.5), np.full((2, segments), 0.5)
     for k in range(1, segments):
-        v = into[k - 1] @ ahead[k - 1, -1]
-        into[k] = v / v.sum()
-    alpha = np.einsum("ki,ktij->ktj", into, ahead)
-    # backward: products of the transposed matrices from the right, shifted by one token
-    back = products(step[:, ::-1].transpose(0, 1, 3, 2))[:, ::-1].transpose(0, 1, 3, 2)
-    out_of = np.full((segments, 2), 0.5)
+        a, b, c, d = ahead[:, -1, k - 1].tolist()
+        x, y = into[0, k - 1], into[1, k - 1]
+        u, v = x * a + y * c, x * b + y * d
+        into[:, k] = u / (u + v), v / (u + v)
     for k in range(segments - 2, -1, -1):
-        v = back[k + 1, 0] @ out_of[k + 1]
-        out_of[k] = v / v.sum()
-    beta = np.empty((segments, width, 2))
-    beta[:, -1] = out_of
-    beta[:, :-1] = np.einsum("ktij,kj->kti", back[:, 1:], out_of)
-    both = alpha * beta
-    return (both[..., 1] / both.sum(-1)).reshape(-1)[:n]
+        a, b, c, d = back[:, 0, k + 1].tolist()
+        x, y = out_of[0, k + 1], out_of[1, k + 1]
+        u, v = a * x + b * y, c * x + d * y
+        out_of[:, k] = u / (u + v), v / (u + v)
+
+    off, on = into[0] * ahead[0] + into[1] * ahead[2], into[0] * ahead[1] + into[1] * ahead[3]
+    off[-1] *= out_of[0]
+    on[-1] *= out_of[1]
+    off[:-1] *= back[0, 1:] * out_of[0] + back[1, 1:] * out_of[1]
+    on[:-1] *= back[2, 1:] * out_of[0] + back[3, 1:] * out_of[1]
+    return (on / (off + on)).T.reshape(-1)[:n]
+
+
+def _multiply(x: np.ndarray, y: np.ndarray, out: np.ndarray) -> None:
+    """Products of 2x2 matrices, one a column, scaled to a sum of one."""
+    out[0], out[1] = x[0] * y[0] + x[1] * y[2], x[0] * y[1] + x[1] * y[3]
+    out[2], out[3] = x[2] * y[0] + x[3] * y[2], x[2] * y[1] + x[3] * y[3]
+    out *= 1 / (out[0] + out[1] + out[2] + out[3])
 
 
 class ToxicityModel:
@@ -129,15 +150,15 @@ class ToxicityModel:
     def fit(self, texts: list[str], labels: list[list[int] | None], toxic: list[int]) -> "ToxicityModel":
         """labels: of each text's tokens, or None where they are not known; toxic: of the texts."""
         types: dict[str, int] = {}
-        ids, gold, begins = [], [], []
+        ids, gold, begins = array("i"), array("b"), array("b")
         for text, tags in zip(texts, labels, strict=True):
             if tags:
-                ids += [types.setdefault(w.lower(), len(types)) for w in TOKEN.findall(text)]
-                gold += tags
-                begins += [True] + [False] * (len(tags) - 1)
+                ids.extend(types.setdefault(w.lower(), len(types)) for w in TOKEN.findall(text))
+                gold.extend(tags)
+                begins.extend([1] + [0] * (len(tags) - 1))
         if not ids or len(set(toxic)) < 2:
             return self
-        ids, y, first = np.array(ids), np.array(gold, float), np.array(begins)
+        ids, y, first = np.array(ids), np.array(gold, float), np.array(begins, bool)
         rows = [features(w) for w in types]
         flat, owner = np.concatenate(rows), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
         w, seen = np.zeros(WEIGHTS), np.full(WEIGHTS, 1e-8)
@@ -184,7 +205,7 @@ class ToxicityModel:
         sizes = [len(f) for f in found]
         edges = np.concatenate([[0], np.cumsum(sizes)]).astype(int)
         get = self.words.__getitem__
-        scores = np.fromiter((s for f in found for s in map(get, f)), float, int(edges[-1]))
+        scores = np.fromiter(map(get, chain.from_iterable(found)), float, int(edges[-1]))
         begins = np.zeros(len(scores), bool)
         begins[edges[:-1][np.array(sizes, int) > 0]] = True
         p = marginals(scores, begins, self.trans, self.start)
@@ -253,7 +274,7 @@ def _start_counts(rows: DataFrame) -> DataFrame:
                 own = counts[1 if toxic else 0]
                 for key in {s for w in words for s in starts(w)}:
                     own[key] = own.get(key, 0) + 1
-            if len(counts[0]) + len(counts[1]) > 1_000_000:
+            if len(counts[0]) + len(counts[1]) > 200_000:
                 yield from flush()
         yield from flush()
 
@@ -287,7 +308,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text",
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     labels = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("toxic"))
     labels = labels.where("doc_id is not null and toxic in (0, 1)")
-    marks = toxic_starts(docs.join(labels, "doc_id").select("text", "toxic"))
+    few = labels.count() <= SMALL_ROWS  # else Spark shuffles both sides
+    marks = toxic_starts(docs.join(F.broadcast(labels) if few else labels, "doc_id").select("text", "toxic"))
     picked = None  # the ids of the sample are chosen from the narrow table, and are few enough to be sent
     for value in (0, 1):
         some = labels.where(F.col("toxic") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
