@@ -33,6 +33,7 @@ import re
 
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -90,15 +91,23 @@ def write_archives(
         .groupBy("sha").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     )
 
+    def squeeze(batches):  # the payloads cross the network once, compressed
+        tool = zstandard.ZstdCompressor(level=6)
+        schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("sha", pa.string()), ("z", pa.binary())])
+        for b in slices(batches):
+            yield batch(schema, [*b.columns[:3], [tool.compress(x) for x in b.column(3).to_pylist()]])
+
     def run(batches):
-        schema = pa.schema([("value", pa.binary())])
+        schema, unzip = pa.schema([("value", pa.binary())]), zstandard.ZstdDecompressor()
         for b in slices(batches):
             out = []
-            for page, url, payload, first in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                out.append(record(page, url, payload, first if None not in (page, first) and page != first else None))
+            for page, url, z, first in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                to = first if None not in (page, first) and page != first else None
+                out.append(record(page, url, unzip.decompress(z), to))
             yield batch(schema, [out])
 
-    joined = rows.join(shared, "sha", "left").select("page_id", "url", "payload", "first")
+    small = rows.select("page_id", "url", "sha", "payload").mapInArrow(squeeze, "page_id long, url string, sha string, z binary")
+    joined = small.join(shared, "sha", "left").select("page_id", "url", "z", "first")
     text = joined.mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value"))
     text.write.option("lineSep", END.decode()).text(path)
 
