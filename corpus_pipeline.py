@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import kneser_ney, near_dedup, packing, toxicity
-from tessera.llm.common import stage
+from tessera.llm.common import small_batches, stage
 
 TOXIC = 0.7
 
@@ -28,6 +28,7 @@ def _learned_from() -> F.Column:
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents with a toxicity score of TOXIC or more."""
+    small_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(_learned_from())
     model = toxicity.train(docs.where(_learned_from()), labels)
     return toxicity.reject(docs, model, TOXIC)
@@ -35,12 +36,14 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents that fail the base rules or lie outside their language's perplexity bands."""
+    small_batches(spark)
     judged = kneser_ney.judge(docs)
     return _named(docs, judged.where("kept"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near duplicates (five words, similarity 0.8)."""
+    small_batches(spark)
     found = near_dedup.near_duplicates(docs)
     kept = _named(docs, found.where("kept"))
     return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).union(kept.where("doc_id is null"))
@@ -48,6 +51,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs all documents into sequences; a row is a piece with its ids and place."""
+    small_batches(spark)
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 

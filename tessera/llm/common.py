@@ -38,6 +38,16 @@ def scratch_path(spark: SparkSession, tag: str) -> str:
     return f"{scratch_root(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Rows with texts are long: batches of 1,000 rows keep the buffers of the JVM and of Python workers small.
+
+    This is a setting of the session; a value other than Spark's default stays.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, "1000")
+
+
 def stage(df: DataFrame, tag: str, path: str | None = None) -> DataFrame:
     """Writes df as a Parquet table in the shared folder and reads it back.
 

@@ -53,7 +53,7 @@ ROUNDS = 2
 #: Members of a hub or of a band that one task compares at a time.
 BLOCK = 500
 #: Words whose hashes a worker keeps before it starts anew.
-MAX_WORDS = 1_000_000
+MAX_WORDS = 150_000
 
 _SIZE = BANDS * ROWS
 _FACTORS = np.random.default_rng(7).integers(0, 1 << 31, _SIZE, np.int64).astype(np.uint32) * np.uint32(2) + np.uint32(1)

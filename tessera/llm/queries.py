@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tessera.llm import fuzzy_hash, kneser_ney, near_dedup, packing, pitman_yor, sentencepiece_bpe, token_files, toxicity, url_filter, warc
+from tessera.llm.common import small_batches
 
 
 def table(spark, sf_dir, name):
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
