@@ -94,3 +94,12 @@ def slices(batches, most_rows: int = 2000, most_bytes: int = 4 << 20):
         step = max(1, min(most_rows, most_bytes // per))
         for at in range(0, b.num_rows, step):
             yield b.slice(at, step)
+
+
+def range_cuts(docs: DataFrame, n: int) -> list[int]:
+    """Lower ends of up to n ranges of doc_id with about as many rows each."""
+    if n < 2:
+        return []
+    at = [i / n for i in range(1, n)]
+    found = docs.select(F.percentile_approx("doc_id", at, 10000).alias("q")).first()["q"]
+    return sorted(set(found or []))

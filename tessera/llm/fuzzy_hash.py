@@ -37,7 +37,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import batch, slices
+from tessera.llm.common import batch, range_cuts, slices
 
 WINDOW = 7
 MIN_BLOCK = 2
@@ -159,20 +159,11 @@ def fingerprints(docs: DataFrame, text_col: str = "text", out_col: str = "finger
     return docs.withColumn(out_col, run(F.col(text_col)))
 
 
-def _cuts(docs: DataFrame, n: int) -> list[int]:
-    """Lower ends of up to n ranges of doc_id with about as many rows each."""
-    if n < 2:
-        return []
-    at = [i / n for i in range(1, n)]
-    found = docs.select(F.percentile_approx("doc_id", at, 10000).alias("q")).first()["q"]
-    return sorted(set(found or []))
-
-
 def next_text_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprints of each text, of its edited form, and their likeness; see the module's docstring."""
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    cuts = np.array(_cuts(docs, int(spark.conf.get("spark.sql.shuffle.partitions"))), np.int64)
+    cuts = np.array(range_cuts(docs, int(spark.conf.get("spark.sql.shuffle.partitions"))), np.int64)
     low = -(1 << 63)
 
     # ranges in descending order: 0 holds the largest ids; null ids go to the last range, after all others

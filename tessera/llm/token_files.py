@@ -35,12 +35,11 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import vocab
-from tessera.llm.common import batch, scratch_path, slices, stage
+from tessera.llm.common import batch, range_cuts, scratch_path, slices, stage
 
 MAGIC = b"TIDHUF01"
 MAX_BITS = 16
@@ -192,16 +191,23 @@ def tokenize_ranges(
 ) -> DataFrame:
     """Staged chunks (part, seq) of whole documents in ascending doc_id; ids as compressed unsigned integers."""
 
-    def squeeze(batches):
+    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cuts = np.array(range_cuts(picked, n), np.int64)
+
+    def squeeze(batches):  # null ids have a range of their own before all others
         tool = zstandard.ZstdCompressor(level=1)
-        schema = pa.schema([("doc_id", pa.int64()), ("z", pa.binary())])
+        schema = pa.schema([("part", pa.int64()), ("doc_id", pa.int64()), ("z", pa.binary())])
         for b in slices(batches):
-            yield batch(schema, [b.column(0), [tool.compress((t or "").encode("utf-8", "surrogatepass")) for t in b.column(1).to_pylist()]])
+            ids = b.column(0)
+            known = np.searchsorted(cuts, np.array(ids.fill_null(0)), side="right")
+            part = pa.array(np.where(np.array(ids.is_valid()), known, -1))
+            yield batch(schema, [part, ids, [tool.compress((t or "").encode("utf-8", "surrogatepass")) for t in b.column(1).to_pylist()]])
 
     def run(batches):
-        part, seq = TaskContext.get().partitionId(), 0
+        part, seq = None, 0
         encoder = vocab.encoder(vocab.WordEndEncoder, tokenizer_path)
-        unzip, tool = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=3)
+        unzip, tool = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=1)
         end = int(end_id).to_bytes(4, "little")
         names, sizes, held = [], [], []
 
@@ -213,8 +219,13 @@ def tokenize_ranges(
 
         total = 0
         for b in slices(batches):
-            texts = [unzip.decompress(z).decode("utf-8", "surrogatepass") for z in b.column(1).to_pylist()]
-            for name, got in zip(b.column(0).to_pylist(), encoder.encode(texts), strict=True):
+            texts = [unzip.decompress(z).decode("utf-8", "surrogatepass") for z in b.column(2).to_pylist()]
+            for own, name, got in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), encoder.encode(texts), strict=True):
+                if own != part:
+                    if names:
+                        yield chunk()
+                        names, sizes, held = [], [], []
+                    part, seq, total = own, 0, 0
                 names.append(name)
                 held.append(got + end)
                 sizes.append(len(got) // 4 + 1)
@@ -226,10 +237,8 @@ def tokenize_ranges(
         if names:
             yield chunk()
 
-    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    shuffled = picked.mapInArrow(squeeze, "doc_id long, z binary")
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = shuffled.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "z")
+    shuffled = picked.mapInArrow(squeeze, "part long, doc_id long, z binary")
+    dealt = shuffled.repartition(n, "part").sortWithinPartitions("part", "doc_id", "z")
     return stage(dealt.mapInArrow(run, _CHUNK), "token-chunks")
 
 

@@ -12,12 +12,14 @@ from __future__ import annotations
 
 import json
 import os
+import re
+from array import array
 
 import numpy as np
 import regex
 
-#: Pieces that a worker keeps; then it starts anew. About 150 bytes each.
-MAX_PIECES = 600_000
+#: Pieces of the latest texts that a worker keeps, and as many from before. About 150 bytes each.
+MAX_PIECES = 350_000
 
 _loaded: dict[tuple, object] = {}
 
@@ -77,6 +79,7 @@ class WordEndEncoder(Vocabulary):
     END = b"\xff"  # a byte that UTF-8 never has
     #: Fixed pattern of the vocabulary.
     PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"""
+    ASCII = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\\sa-z0-9]+")  # the same for printable ASCII
     #: Signs for which composing and lower-casing act on each alone.
     PLAIN = regex.compile("[\n\x21-\x7e\xa1-ɏ]*")
 
@@ -95,31 +98,43 @@ class WordEndEncoder(Vocabulary):
         ranks[self.END] = len(self.ids) + len(ranks)  # never left over: ends merge first
         core = tiktoken.Encoding("word-end", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})
         self.single, self.words = core._core_bpe.encode_single_piece, regex.compile(self.PATTERN)
-        self.kept = _Kept(self._piece)
+        self.kept, self.kept_words = _Kept(self._piece), _Kept(self._word)
 
     def _piece(self, piece: str) -> bytes:
+        if piece.isascii():
+            if piece.isalpha():
+                return self.kept_words[piece.lower()]
+            if piece.isprintable():
+                return b"".join(map(self.kept_words.__getitem__, self.ASCII.findall(piece.lower())))
         if not self.PLAIN.fullmatch(piece):
             return self.whole(piece)
-        ids: list[int] = []
-        for word in self.words.findall(piece.lower()):
-            ids += self.single(word.encode() + self.END)
-        return np.array(ids, "<u4").tobytes()
+        return b"".join(map(self.kept_words.__getitem__, self.words.findall(piece.lower())))
+
+    def _word(self, word: str) -> bytes:
+        return array("I", self.single(word.encode() + self.END)).tobytes()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        if len(self.kept) > MAX_PIECES:
-            self.kept.clear()
+        self.kept, self.kept_words = self.kept.within(MAX_PIECES), self.kept_words.within(MAX_PIECES)
         get = self.kept.__getitem__
         return [b"".join(map(get, t.split(" "))) if t else b"" for t in texts]
 
 
 class _Kept(dict):
-    def __init__(self, make):
-        self.make = make
+    """Values worked out when first asked for; `older` holds those of the generation before."""
+
+    def __init__(self, make, older=None):
+        self.make, self.older = make, older or {}
 
     def __missing__(self, key):
-        value = self[key] = self.make(key)
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
+        self[key] = value
         return value
 
+    def within(self, most: int) -> "_Kept":
+        return self if len(self) <= most else _Kept(self.make, dict(self))
+
 
 def encoder(kind: type, path: str):
     """The worker's own encoder for a file; loaded once in each Python process."""
