@@ -70,29 +70,52 @@ def s03_s06_probe_png(spark, d):
     return files.select("img_id", *(F.col(f"info.{n}").alias(n) for n in names))
 
 
-def _animations(spark, d, form):
-    fr = px.frames(px.tiles(spark, d)).where("frame_idx < 4")
-    files = images.encode_animations(fr, form).select(F.col("anim_id").alias("img_id"), "content")
-    return files
+def _animations(spark, d, form, frames=None):
+    """Every animation as one file of all its frames, or of the first ones where the SQL has no more."""
+    fr = px.frames(px.tiles(spark, d))
+    if frames is not None:
+        fr = fr.where(F.col("frame_idx") < frames)
+    return images.encode_animations(fr, form).select(F.col("anim_id").alias("img_id"), "content")
 
 
 @query(FRAMES + " SELECT anim_id AS img_id, frame_idx, x, y, a, r, g, b FROM frames WHERE frame_idx < 4")
 def d07_apng_frames(spark, d):
-    return images.decode_pixels(_animations(spark, d, "png"), frames=True)
+    return images.decode_pixels(_animations(spark, d, "png", 4), frames=True)
 
 
 @query(FRAMES + " SELECT anim_id AS img_id, frame_idx, x, y, " + ", ".join(f"CASE WHEN a < 128 THEN 0 ELSE {v} END AS {c}" for c, v in (("a", "255::BIGINT"), ("r", "r"), ("g", "g"), ("b", "b"))) + " FROM frames WHERE frame_idx < 4")
 def d07_gif_frames(spark, d):
-    return images.decode_pixels(_animations(spark, d, "gif"), frames=True)
+    return images.decode_pixels(_animations(spark, d, "gif", 4), frames=True)
 
 
 @query(FRAMES + " SELECT DISTINCT anim_id AS img_id, frame_idx AS page, 8::BIGINT AS width, 8::BIGINT AS height FROM frames WHERE frame_idx < 4")
 def s16_tiff_pages(spark, d):
-    return images.tiff_pages(_animations(spark, d, "tiff"))
+    return images.tiff_pages(_animations(spark, d, "tiff", 4))
 
 
 @query(FRAMES + " SELECT anim_id AS img_id, 'ok' AS status, count(DISTINCT frame_idx) AS frames, CASE WHEN count(DISTINCT frame_idx) = 1 THEN 1 ELSE 0 END AS plays FROM frames WHERE frame_idx < 4 GROUP BY anim_id")
 def d07_status(spark, d):
+    got = images.decode_status(_animations(spark, d, "png", 4))
+    return got.select("img_id", "status", "frames", F.col("plays").cast("int").alias("plays"))
+
+
+@query(FRAMES + " SELECT anim_id AS img_id, frame_idx, x, y, a, r, g, b FROM frames")
+def d07_apng_all_frames(spark, d):
+    return images.decode_pixels(_animations(spark, d, "png"), frames=True)
+
+
+@query(FRAMES + " SELECT anim_id AS img_id, frame_idx, x, y, " + ", ".join(f"CASE WHEN a < 128 THEN 0 ELSE {v} END AS {c}" for c, v in (("a", "255::BIGINT"), ("r", "r"), ("g", "g"), ("b", "b"))) + " FROM frames")
+def d07_gif_all_frames(spark, d):
+    return images.decode_pixels(_animations(spark, d, "gif"), frames=True)
+
+
+@query(FRAMES + " SELECT DISTINCT anim_id AS img_id, frame_idx AS page, 8::BIGINT AS width, 8::BIGINT AS height FROM frames")
+def s16_tiff_all_pages(spark, d):
+    return images.tiff_pages(_animations(spark, d, "tiff"))
+
+
+@query(FRAMES + " SELECT anim_id AS img_id, 'ok' AS status, count(DISTINCT frame_idx) AS frames, CASE WHEN count(DISTINCT frame_idx) = 1 THEN 1 ELSE 0 END AS plays FROM frames GROUP BY anim_id")
+def d07_status_all_frames(spark, d):
     got = images.decode_status(_animations(spark, d, "png"))
     return got.select("img_id", "status", "frames", F.col("plays").cast("int").alias("plays"))
 
