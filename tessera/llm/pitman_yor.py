@@ -51,9 +51,9 @@ from tessera.llm import ngrams
 from tessera.llm.common import batch, slices, stage, words
 
 ORDER = 6
-SAMPLES, BURN_IN, ROUNDS = 3, 1, 2
+SAMPLES, BURN_IN, ROUNDS = 3, 2, 2
 CONCENTRATION = 1.0
-TURNS = 8
+TURNS = 16
 
 
 def seat(n: np.ndarray, at: np.ndarray, parent: np.ndarray, discount: float, theta: float, rng) -> np.ndarray:
