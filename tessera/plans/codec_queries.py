@@ -125,7 +125,7 @@ def d02_pages_of_documents(spark, d):
     """Documents' bytes are no images: every row must come back as malformed, none may end the job."""
     docs = spark.read.parquet(f"{d}/documents.parquet")
     head = F.element_at(F.array(*(F.unhex(F.lit(m)) for m in ("89504E470D0A1A0A", "424D", "474946383961", "49492A00"))), (F.col("doc_id") % 4 + 1).cast("int"))
-    files = docs.select(F.col("doc_id").alias("img_id"), F.concat(head, F.substring("text", 1, 200).cast("binary")).alias("content"))
+    files = docs.select(F.col("doc_id").alias("img_id"), F.concat(head, F.col("text").cast("binary")).alias("content"))
     return images.decode_status(files).select("img_id", "status")
 
 
