@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import vocab
-from tessera.llm.common import batch, slices
+from tessera.llm.common import batch, lean, slices
 
 SEQUENCE = 1024
 #: Tokens that are packed together in one task.
@@ -124,4 +124,4 @@ def pack(
             yield from flush()
 
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return picked.mapInArrow(run, SCHEMA)
+    return picked.mapInArrow(lean(run), SCHEMA)

@@ -25,7 +25,9 @@ writes; files of lost or repeated tasks have other names and are never read.
 
 Defined results: a null or empty text is the end id alone. A null doc_id comes
 before all others. Rows with the same doc_id follow each other in the order of
-their texts; each row is a document. An empty table gives no files and no rows.
+a hash of their texts, equal texts side by side; each row is a document. So an id
+that very many rows share is dealt over several ranges. An empty table gives no
+files and no rows.
 """
 
 from __future__ import annotations
@@ -34,12 +36,13 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import vocab
-from tessera.llm.common import batch, range_cuts, scratch_path, slices, stage
+from tessera.llm.common import batch, drop_path, lean, partition_keys, range_count, range_cuts, scratch_path, slices, stage
 
 MAGIC = b"TIDHUF01"
 MAX_BITS = 16
@@ -180,6 +183,9 @@ def _filesystem(path: str):
     return fs.FileSystem.from_uri(path)
 
 
+#: Ranges of the rows without an id, which are dealt by a hash of their texts.
+NULL_PARTS = 64
+
 _CHUNK = "part long, seq long, docs array<long>, sizes array<long>, ids binary"
 _CHUNK_ARROW = pa.schema(
     [("part", pa.int64()), ("seq", pa.int64()), ("docs", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("ids", pa.binary())]
@@ -189,20 +195,22 @@ _CHUNK_ARROW = pa.schema(
 def tokenize_ranges(
     docs: DataFrame, tokenizer_path: str, id_col: str, text_col: str, end_id: int, chunk_tokens: int
 ) -> DataFrame:
-    """Staged chunks (part, seq) of whole documents in ascending doc_id; ids as compressed unsigned integers."""
+    """Chunks (part, seq) of whole documents in ascending doc_id; ids as compressed unsigned integers."""
 
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = range_count(picked)
     cuts = np.array(range_cuts(picked, n), np.int64)
+    keys = np.array(partition_keys(docs.sparkSession, n))
 
-    def squeeze(batches):  # null ids have a range of their own before all others
+    def squeeze(batches):
         tool = zstandard.ZstdCompressor(level=1)
-        schema = pa.schema([("part", pa.int64()), ("doc_id", pa.int64()), ("z", pa.binary())])
+        schema = pa.schema([("task", pa.int64()), ("part", pa.int64()), ("doc_id", pa.int64()), ("hash", pa.int64()), ("z", pa.binary())])
         for b in slices(batches):
-            ids = b.column(0)
-            known = np.searchsorted(cuts, np.array(ids.fill_null(0)), side="right")
-            part = pa.array(np.where(np.array(ids.is_valid()), known, -1))
-            yield batch(schema, [part, ids, [tool.compress((t or "").encode("utf-8", "surrogatepass")) for t in b.column(1).to_pylist()]])
+            ids, raw = b.column(0), [(t or "").encode("utf-8", "surrogatepass") for t in b.column(1).to_pylist()]
+            hashes = np.fromiter(map(xxhash.xxh64_intdigest, raw), np.uint64, len(raw))
+            part = place(np.array(ids.fill_null(0)), np.array(ids.is_valid()), hashes, cuts)
+            cols = [pa.array(keys[part % n]), pa.array(part), ids, pa.array(hashes.view(np.int64)), [tool.compress(x) for x in raw]]
+            yield batch(schema, cols)
 
     def run(batches):
         part, seq = None, 0
@@ -218,7 +226,7 @@ def tokenize_ranges(
             return batch(_CHUNK_ARROW, [[part], [seq], [names], [sizes], [kind + tool.compress(body)]])
 
         total = 0
-        for b in slices(batches):
+        for b in slices(batches, most_rows=500, most_bytes=1 << 20):  # compressed
             texts = [unzip.decompress(z).decode("utf-8", "surrogatepass") for z in b.column(2).to_pylist()]
             for own, name, got in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), encoder.encode(texts), strict=True):
                 if own != part:
@@ -237,9 +245,18 @@ def tokenize_ranges(
         if names:
             yield chunk()
 
-    shuffled = picked.mapInArrow(squeeze, "part long, doc_id long, z binary")
-    dealt = shuffled.repartition(n, "part").sortWithinPartitions("part", "doc_id", "z")
-    return stage(dealt.mapInArrow(run, _CHUNK), "token-chunks")
+    shuffled = picked.mapInArrow(lean(squeeze), "task long, part long, doc_id long, hash long, z binary")
+    dealt = shuffled.repartition(n, "task").sortWithinPartitions("part", "doc_id", "hash", "z")
+    return dealt.select("part", "doc_id", "z").mapInArrow(lean(run), _CHUNK)
+
+
+def place(ids: np.ndarray, known: np.ndarray, hashes: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """Range of each row, in the order of (id, hash); rows without an id come first, in ranges of negative numbers."""
+    low, high = np.searchsorted(cuts, ids, side="left"), np.searchsorted(cuts, ids, side="right")
+    top = (hashes >> np.uint64(32)).astype(np.int64) ^ (1 << 31)  # in the order of the hash as a signed number
+    several = high - low > 1  # one id fills all ranges in between: its rows go by their hash
+    part = np.where(several, low + 1 + ((top * (high - low)) >> 32), high)
+    return np.where(known, part, ((top * NULL_PARTS) >> 32) - NULL_PARTS)
 
 
 def chunk_ids(raw: bytes) -> np.ndarray:
@@ -258,7 +275,7 @@ def count_ids(chunks: DataFrame, vocab_size: int) -> np.ndarray:
         at = np.flatnonzero(total)
         yield batch(pa.schema([("id", pa.int64()), ("n", pa.int64())]), [pa.array(at), pa.array(total[at])])
 
-    rows = chunks.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    rows = chunks.select("ids").mapInArrow(lean(run), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     counts = np.zeros(vocab_size, np.int64)
     for row in rows:
         counts[row["id"]] = row["n"]
@@ -277,8 +294,9 @@ def write_token_files(
 ) -> DataFrame:
     """Writes the files under `path`; gives the manifest: part, seq, file, documents, tokens, start."""
     spark = docs.sparkSession
-    chunks = tokenize_ranges(docs, tokenizer_path, id_col, text_col, end_id, chunk_tokens)
-    known = vocab.encoder(vocab.WordEndEncoder, tokenizer_path).library.get_vocab_size()
+    staged = scratch_path(spark, "token-chunks")
+    chunks = stage(tokenize_ranges(docs, tokenizer_path, id_col, text_col, end_id, chunk_tokens), "token-chunks", staged)
+    known = max(vocab.encoder(vocab.WordEndEncoder, tokenizer_path).ids.values()) + 1
     counts = count_ids(chunks, max(known, end_id + 1))
     sent = spark.sparkContext.broadcast(code_lengths(counts))
     out = pa.schema([("part", pa.int64()), ("seq", pa.int64()), ("file", pa.string()), ("documents", pa.int64()), ("tokens", pa.int64())])
@@ -297,11 +315,16 @@ def write_token_files(
                     f.write(raw)
                 yield batch(out, [[row["part"]], [row["seq"]], [name], [len(row["docs"])], [len(ids)]])
 
-    manifest = chunks.mapInArrow(run, "part long, seq long, file string, documents long, tokens long")
+    manifest = chunks.mapInArrow(lean(run), "part long, seq long, file string, documents long, tokens long")
     manifest = stage(manifest, "token-manifest", f"{path}/_manifest")
-    # one row a file
-    order = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
-    return manifest.withColumn("start", F.coalesce(F.sum("tokens").over(order), F.lit(0)))
+    drop_path(spark, staged)
+    # tokens of the ranges before: a row a range, of which there are as many as the driver gave out
+    per = sorted((r["part"], r["n"]) for r in manifest.groupBy("part").agg(F.sum("tokens").alias("n")).collect())
+    bases = np.cumsum([0, *(n for _, n in per)]).tolist()
+    before = spark.createDataFrame([(p, b) for (p, _), b in zip(per, bases)], "part long, base long")
+    order = Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    within = manifest.withColumn("start", F.coalesce(F.sum("tokens").over(order), F.lit(0)))
+    return within.join(before, "part").withColumn("start", F.col("start") + F.col("base")).drop("base")
 
 
 def read_token_files(spark: SparkSession, path: str, manifest: DataFrame) -> DataFrame:
@@ -321,8 +344,9 @@ def read_token_files(spark: SparkSession, path: str, manifest: DataFrame) -> Dat
                     cols = [names[at : at + 2000], [base + x for x in cut[:-1]], [raw[4 * x : 4 * y] for x, y in zip(cut, cut[1:])]]
                     yield batch(out, cols)
 
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return manifest.select("file", "start").repartition(n, "file").mapInArrow(run, "doc_id long, start long, ids binary")
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), manifest.count() // 4)
+    listed = manifest.select("file", "start").repartition(n)  # one by one, where a hash puts several files in a task
+    return listed.mapInArrow(lean(run), "doc_id long, start long, ids binary")
 
 
 def round_trip(docs: DataFrame, tokenizer_path: str, end_id: int = 1, **options) -> DataFrame:

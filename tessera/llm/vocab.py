@@ -18,8 +18,10 @@ from array import array
 import numpy as np
 import regex
 
-#: Pieces of the latest texts that a worker keeps, and as many from before. About 150 bytes each.
-MAX_PIECES = 350_000
+from tessera.llm.common import Kept
+
+#: Bytes of pieces, and of words, that a worker keeps with their ids, and as many from before.
+MAX_PIECES, MAX_WORDS = 40 << 20, 16 << 20
 
 _loaded: dict[tuple, object] = {}
 
@@ -33,17 +35,24 @@ def byte_signs() -> dict[str, int]:
 
 class Vocabulary:
     def __init__(self, path: str):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        self.path, self._library = path, None
         with open(path, encoding="utf-8") as f:
             model = json.load(f)["model"]
         self.ids, pairs = model["vocab"], [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
         made = [self.ids["".join(pair)] for pair in pairs]
         self.ordered = all(a < b for a, b in zip(made, made[1:])) and (not made or made[0] >= len(self.ids) - len(made))
 
+    @property
+    def library(self):
+        """The `tokenizers` library's own encoder, loaded when a text first needs it."""
+        if self._library is None:
+            os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+            from tokenizers import Tokenizer
+
+            self._library = Tokenizer.from_file(self.path)
+            self._library.encode_special_tokens = True
+        return self._library
+
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
@@ -65,8 +74,13 @@ class ByteLevelEncoder(Vocabulary):
         self.core = tiktoken.Encoding("byte-level", pat_str=self.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        run, nothing = self.core._core_bpe.encode_to_tiktoken_buffer, set()
-        return [bytes(run(t, nothing)) if t else b"" for t in texts]
+        return [self._one(t) if t else b"" for t in texts]
+
+    def _one(self, text: str) -> bytes:
+        try:
+            return bytes(self.core._core_bpe.encode_to_tiktoken_buffer(text, set()))
+        except ValueError:  # its pattern gives up on runs of about a million white spaces
+            return self.whole(text)
 
 
 class WordEndEncoder(Vocabulary):
@@ -98,7 +112,7 @@ class WordEndEncoder(Vocabulary):
         ranks[self.END] = len(self.ids) + len(ranks)  # never left over: ends merge first
         core = tiktoken.Encoding("word-end", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})
         self.single, self.words = core._core_bpe.encode_single_piece, regex.compile(self.PATTERN)
-        self.kept, self.kept_words = _Kept(self._piece), _Kept(self._word)
+        self.kept, self.kept_words = Kept(self._piece, MAX_PIECES), Kept(self._word, MAX_WORDS)
 
     def _piece(self, piece: str) -> bytes:
         if piece.isascii():
@@ -114,28 +128,10 @@ class WordEndEncoder(Vocabulary):
         return array("I", self.single(word.encode() + self.END)).tobytes()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        self.kept, self.kept_words = self.kept.within(MAX_PIECES), self.kept_words.within(MAX_PIECES)
         get = self.kept.__getitem__
         return [b"".join(map(get, t.split(" "))) if t else b"" for t in texts]
 
 
-class _Kept(dict):
-    """Values worked out when first asked for; `older` holds those of the generation before."""
-
-    def __init__(self, make, older=None):
-        self.make, self.older = make, older or {}
-
-    def __missing__(self, key):
-        value = self.older.get(key)
-        if value is None:
-            value = self.make(key)
-        self[key] = value
-        return value
-
-    def within(self, most: int) -> "_Kept":
-        return self if len(self) <= most else _Kept(self.make, dict(self))
-
-
 def encoder(kind: type, path: str):
     """The worker's own encoder for a file; loaded once in each Python process."""
     if (kind, path) not in _loaded:

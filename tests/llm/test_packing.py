@@ -80,3 +80,14 @@ def test_pack_on_odd_rows(spark):
     for parts in rooms.values():
         assert [o for o, _ in sorted(parts)] == list(np.cumsum([0, *(n for _, n in sorted(parts))])[:-1])
     assert packing.pack(docs.limit(0), PATH).count() == 0
+
+
+def test_a_million_white_spaces(spark):
+    rows = [(1, "a " + " " * 1_000_001 + "b"), (2, "\n" * 999_999), (3, "x" * 300_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    library = Tokenizer.from_file(PATH)
+    got = defaultdict(list)
+    for r in packing.pack(docs, PATH).collect():
+        got[r.doc_id].append((r.start, np.frombuffer(bytes(r.ids), "<u4").tolist()))
+    for i, text in rows:
+        assert [x for _, ids in sorted(got[i]) for x in ids] == library.encode(text, add_special_tokens=False).ids + [0]

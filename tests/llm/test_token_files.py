@@ -69,3 +69,26 @@ def test_files_round_trip(spark):
         assert (r.doc_id, ids) in want
     assert zlib.crc32(b"".join(bytes(r.ids) for r in got if r.doc_id != 7)) == zlib.crc32(b"".join(np.array(x, "<u4").tobytes() for i, x in want if i != 7))
     assert tf.round_trip(docs.limit(0), PATH).count() == 0
+
+
+def test_an_id_of_many_rows_fills_several_ranges(spark):
+    rows = [(i if i % 3 else 7, f"text {i}") for i in range(600)] + [(None, f"none {i}") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(tf.round_trip(docs, PATH).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == sorted((i for i, _ in rows), key=lambda i: (i is not None, i or 0))
+    assert [r.start for r in got] == np.cumsum([0, *(len(r.ids) // 4 for r in got)])[:-1].tolist()
+    ids = np.full(1000, 7)
+    hashes = np.random.default_rng(1).integers(0, 1 << 63, 1000, np.uint64) * np.uint64(2)
+    part = tf.place(ids, np.ones(1000, bool), hashes, np.array([3, 7, 7, 7, 9]))
+    assert set(part.tolist()) == {2, 3, 4}
+    order = np.argsort(hashes.view(np.int64))
+    assert (np.diff(part[order]) >= 0).all()
+    assert tf.place(np.array([6, 8, 9]), np.ones(3, bool), hashes[:3], np.array([3, 7, 7, 7, 9])).tolist() == [1, 4, 5]
+
+
+def test_unbroken_runs(spark):
+    rows = [(1, " " * 1_000_001), (2, "a" * 300_000), (3, "\n" * 50_000 + "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    library = Tokenizer.from_file(PATH)
+    got = {r.doc_id: np.frombuffer(bytes(r.ids), "<u4").tolist() for r in tf.round_trip(docs, PATH).collect()}
+    assert got == {i: library.encode(t, add_special_tokens=False).ids + [1] for i, t in rows}
