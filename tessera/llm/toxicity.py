@@ -8,8 +8,8 @@ likelihood ratio test with a Bonferroni bound), mark the toxic tokens of toxic
 documents; all other tokens are labelled clean.
 
 A CRF with two states is trained on those labelled tokens of a sample of at
-most SAMPLE documents of each class (the only bound here: the fit runs on the
-driver). Its features are hashed word starts, ends and the word itself, into a
+most SAMPLE documents of each class, of at most LONGEST characters (the only
+bound here: the fit runs on the driver). Its features are hashed word starts, ends and the word itself, into a
 weight table of fixed size, and transitions. Forward and backward messages of
 all documents of a batch are computed side by side: 2x2 transfer matrices are
 multiplied within segments, documents begin with matrices that forget what came
@@ -22,7 +22,8 @@ of 0.5 or more, as offsets in code points.
 
 Defined results: a null, empty or wordless text scores 0 and has no spans; so
 does everything when the training rows lack a class. Rows with null labels or
-ids are not trained on. A doc_id with several labels counts once for each.
+ids are not trained on. A doc_id with several labels counts once for each; of
+several texts with one doc_id the fit takes the least.
 Rows are kept one for one. Columns besides the ones named are not read.
 """
 
@@ -39,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import batch, slices
+from tessera.llm.common import batch, lean, slices
 
 #: Documents of each class that the CRF and the score are fitted on, at most.
 SAMPLE = 500
@@ -51,23 +52,58 @@ CHUNK = 200_000
 LIFT, CHANCE = 10.0, 10
 #: Labels (12 bytes a row) that are sent to all executors rather than shuffled together with the texts.
 SMALL_ROWS = 1_000_000
-#: Words that a worker keeps with their scores before it starts anew.
-MAX_WORDS = 100_000
+#: Characters of a text beyond which the fit leaves it out; with SAMPLE, the bound of what the driver collects.
+LONGEST = 200_000
 
 TOKEN = re.compile(r"[^\W\d_]+")
+#: The 256 signs of one byte: letters become small ones, all else a space.
+LETTERS = bytes(ord(chr(i).lower()) if TOKEN.fullmatch(chr(i)) else 32 for i in range(256))
 
 
-def starts(word: str) -> list[str]:
+def tokens(text: str | None) -> list[bytes]:
+    """Lower-cased words of a text: one byte a letter where that can hold it, else UTF-8."""
+    if not text:
+        return []
+    try:
+        raw = text.encode("latin-1")
+    except UnicodeEncodeError:
+        return [_bytes(w.lower()) for w in TOKEN.findall(text)]
+    return raw.translate(LETTERS).split()
+
+
+def _bytes(word: str) -> bytes:
+    try:
+        return word.encode("latin-1")
+    except UnicodeEncodeError:
+        return word.encode("utf-8", "surrogatepass")
+
+
+def starts(word: bytes) -> list[bytes]:
     """What labelling looks at: the word, and its starts of 4 to 8 letters that go on."""
-    return [word + "$", *(word[:n] + "+" for n in range(4, min(9, len(word))))]
+    return [word + b"$", *(word[:n] + b"+" for n in range(4, min(9, len(word))))]
+
+
+def _slot(values: np.ndarray, kind: int) -> np.ndarray:
+    h = (values + np.uint64(kind)) * np.uint64(0x9E3779B97F4A7C15)
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return (1 + (h >> np.uint64(33)) % np.uint64(WEIGHTS - 1)).astype(np.int64)
 
 
-def features(word: str) -> list[int]:
-    """Hashed features of a lower-cased word; the first is common to all."""
-    whole = word + "$"
-    made = ["w" + word, "s" + whole[-4:], *(f"p{whole[:n]}" for n in range(3, min(10, len(whole) + 1)))]
-    made += [f"q{s}" for s in starts(word)]
-    return [0, *(1 + zlib.crc32(x.encode("utf-8", "surrogatepass")) % (WEIGHTS - 1) for x in made)]
+def features(words: list[bytes]) -> np.ndarray:
+    """Hashed features of lower-cased words, a row each; the first is common to all, WEIGHTS stands for none."""
+    n = np.fromiter(map(len, words), np.int64, len(words))
+    whole = np.fromiter(map(zlib.crc32, words), np.uint64, len(words))
+    ends = np.array([w[-3:] for w in words], "S4").view(np.uint32).astype(np.uint64)
+    heads = np.array([w + b"$" for w in words], "S9").view(np.uint8).reshape(-1, 9)
+    made = [np.zeros(len(words), np.int64), _slot(whole, 1), _slot(ends, 2), _slot(whole, 3)]
+    start = np.zeros(len(words), np.uint64)
+    for k in range(1, 10):
+        start = start * np.uint64(0x100000001B3) + heads[:, k - 1]
+        if k >= 3:  # starts, with the end of the word as a sign
+            made.append(np.where(k <= n + 1, _slot(start, 10 + k), WEIGHTS))
+        if 4 <= k <= 8:  # starts that go on
+            made.append(np.where(k < n, _slot(start, 30 + k), WEIGHTS))
+    return np.stack(made, 1)
 
 
 def marginals(scores: np.ndarray, begins: np.ndarray, trans: np.ndarray, start: np.ndarray) -> np.ndarray:
@@ -135,32 +171,25 @@ def _multiply(x: np.ndarray, y: np.ndarray, out: np.ndarray) -> None:
 
 class ToxicityModel:
     def __init__(self):
-        self.weights = np.zeros(WEIGHTS, np.float32)
+        self.weights = np.zeros(WEIGHTS + 1, np.float32)  # the last is that of no feature
         self.trans, self.start = np.zeros((2, 2)), np.zeros(2)
         self.logistic: np.ndarray | None = None
-        self.words = _Scores(self)
-
-    def __getstate__(self):
-        return {"weights": self.weights, "trans": self.trans, "start": self.start, "logistic": self.logistic}
-
-    def __setstate__(self, state):
-        self.__dict__.update(state)
-        self.words = _Scores(self)
 
     def fit(self, texts: list[str], labels: list[list[int] | None], toxic: list[int]) -> "ToxicityModel":
         """labels: of each text's tokens, or None where they are not known; toxic: of the texts."""
-        types: dict[str, int] = {}
+        types: dict[bytes, int] = {}
         ids, gold, begins = array("i"), array("b"), array("b")
         for text, tags in zip(texts, labels, strict=True):
             if tags:
-                ids.extend(types.setdefault(w.lower(), len(types)) for w in TOKEN.findall(text))
+                ids.extend(types.setdefault(w, len(types)) for w in tokens(text))
                 gold.extend(tags)
                 begins.extend([1] + [0] * (len(tags) - 1))
         if not ids or len(set(toxic)) < 2:
             return self
         ids, y, first = np.array(ids), np.array(gold, float), np.array(begins, bool)
-        rows = [features(w) for w in types]
-        flat, owner = np.concatenate(rows), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+        rows = features(list(types))
+        there = rows < WEIGHTS
+        flat, owner = rows[there], np.repeat(np.arange(len(rows)), there.sum(1))
         w, seen = np.zeros(WEIGHTS), np.full(WEIGHTS, 1e-8)
         side, side_seen = np.zeros(6), np.full(6, 1e-8)  # transitions and starts
         pair = 2 * y[:-1] + y[1:]
@@ -182,8 +211,7 @@ class ToxicityModel:
             grad = told - hoped - DECAY * len(ids) * side
             side_seen += grad * grad
             side += 0.1 * grad / np.sqrt(side_seen)
-        self.weights, self.trans, self.start = w.astype(np.float32), side[:4].reshape(2, 2), side[4:]
-        self.words = _Scores(self)
+        self.weights, self.trans, self.start = np.append(w, 0).astype(np.float32), side[:4].reshape(2, 2), side[4:]
         self._fit_score([self.facts(own) for own in self.tag(texts)], toxic)
         return self
 
@@ -199,12 +227,12 @@ class ToxicityModel:
 
     def tag(self, texts: list[str | None]):
         """Marginals of each text's tokens."""
-        if len(self.words) > MAX_WORDS:
-            self.words.clear()
-        found = [TOKEN.findall(t) if t else [] for t in texts]
+        found = [tokens(t) for t in texts]
         sizes = [len(f) for f in found]
         edges = np.concatenate([[0], np.cumsum(sizes)]).astype(int)
-        get = self.words.__getitem__
+        types = list(dict.fromkeys(chain.from_iterable(found)))
+        emitted = self.weights[features(types)].sum(1, dtype=float).tolist() if types else []
+        get = dict(zip(types, emitted, strict=True)).__getitem__
         scores = np.fromiter(map(get, chain.from_iterable(found)), float, int(edges[-1]))
         begins = np.zeros(len(scores), bool)
         begins[edges[:-1][np.array(sizes, int) > 0]] = True
@@ -244,23 +272,12 @@ class ToxicityModel:
         return out
 
 
-class _Scores(dict):
-    """Emission score of a word, worked out when first met."""
-
-    def __init__(self, model: ToxicityModel):
-        self.weights = model.weights
-
-    def __missing__(self, word):
-        value = self[word] = float(self.weights[features(word.lower())].sum())
-        return value
-
-
 def _start_counts(rows: DataFrame) -> DataFrame:
     """rows: text, toxic. For each hashed word start: toxic and clean documents that have it."""
 
     def run(batches):
-        schema = pa.schema([("start", pa.string()), ("toxic", pa.int64()), ("clean", pa.int64())])
-        counts: list[dict[str, int]] = [{}, {}]
+        schema = pa.schema([("start", pa.binary()), ("toxic", pa.int64()), ("clean", pa.int64())])
+        counts: list[dict[bytes, int]] = [{}, {}]
 
         def flush():
             keys = list(set(counts[0]) | set(counts[1]))
@@ -270,19 +287,18 @@ def _start_counts(rows: DataFrame) -> DataFrame:
 
         for b in slices(batches):
             for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                words = {w.lower() for w in TOKEN.findall(text or "")}
                 own = counts[1 if toxic else 0]
-                for key in {s for w in words for s in starts(w)}:
+                for key in {s for w in set(tokens(text)) for s in starts(w)}:
                     own[key] = own.get(key, 0) + 1
             if len(counts[0]) + len(counts[1]) > 200_000:
                 yield from flush()
         yield from flush()
 
-    counted = rows.mapInArrow(run, "start string, toxic long, clean long")
+    counted = rows.mapInArrow(lean(run), "start binary, toxic long, clean long")
     return counted.groupBy("start").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
-def toxic_starts(rows: DataFrame) -> set[str]:
+def toxic_starts(rows: DataFrame) -> set[bytes]:
     """Word starts that mark toxic tokens; see the module's docstring for the test."""
     sizes = rows.agg(
         F.coalesce(F.sum((F.col("toxic") == 1).cast("long")), F.lit(0)).alias("t"), F.count(F.lit(1)).alias("n")
@@ -300,7 +316,7 @@ def toxic_starts(rows: DataFrame) -> set[str]:
     )
     # Bonferroni over the starts of a vocabulary that grows with the documents
     bound = 2 * math.log(CHANCE * (n_toxic + n_clean))
-    return {r["start"] for r in counted.where(gain >= bound).select("start").collect()}
+    return {bytes(r["start"]) for r in counted.where(gain >= bound).select("start").collect()}
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", label_col="toxic", sample: int = SAMPLE):
@@ -314,12 +330,13 @@ def train(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text",
     for value in (0, 1):
         some = labels.where(F.col("toxic") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
         picked = some if picked is None else picked.union(some)
-    rows = docs.join(F.broadcast(picked), "doc_id").select("doc_id", "text", "toxic").collect()
+    some = docs.where(F.length("text") <= LONGEST).join(F.broadcast(picked), "doc_id")
+    rows = some.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).collect()
     rows.sort(key=lambda r: (r["doc_id"], r["toxic"], r["text"] or ""))
     texts, tags, toxic = [], [], []
     for r in rows:
         text = r["text"] or ""
-        own = [int(not marks.isdisjoint(starts(w.lower()))) if r["toxic"] else 0 for w in TOKEN.findall(text)]
+        own = [int(not marks.isdisjoint(starts(w))) if r["toxic"] else 0 for w in tokens(text)]
         texts.append(text)
         toxic.append(r["toxic"])
         tags.append(own if not r["toxic"] or any(own) else None)
@@ -341,7 +358,7 @@ def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_co
             spans = [[{"start": s, "end": e, "p": p} for s, e, p in own] for _, own in judged]
             yield batch(schema, [b.column(0), [s for s, _ in judged], spans])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, SCHEMA)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(lean(run), SCHEMA)
 
 
 def reject(docs: DataFrame, model: ToxicityModel, threshold: float, text_col: str = "text") -> DataFrame:
@@ -354,4 +371,4 @@ def reject(docs: DataFrame, model: ToxicityModel, threshold: float, text_col: st
             scores = sent.value.judge(b.column(at).to_pylist())
             yield b.filter(pa.array([s < threshold for s, _ in scores]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
