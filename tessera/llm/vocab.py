@@ -13,16 +13,11 @@ from __future__ import annotations
 import json
 import os
 import re
-from array import array
+from itertools import chain
 
 import numpy as np
 import regex
 
-from tessera.llm.common import Kept
-
-#: Bytes of pieces, and of words, that a worker keeps with their ids, and as many from before.
-MAX_PIECES, MAX_WORDS = 40 << 20, 16 << 20
-
 _loaded: dict[tuple, object] = {}
 
 
@@ -86,16 +81,19 @@ class ByteLevelEncoder(Vocabulary):
 class WordEndEncoder(Vocabulary):
     """BPE over lower-cased words whose last sign carries an end mark; white space is dropped.
 
-    No token crosses a space, so texts are cut at spaces and each distinct
-    piece is encoded once and kept.
+    Words are found by the vocabulary's pattern; the distinct ones of the texts
+    at hand are joined with an end mark and a space after each, and one call
+    encodes them. The mark is a private sign, whose bytes merge before all others.
+    Texts with signs beyond PLAIN are cut at spaces, which no token crosses, and
+    only the pieces with such signs go to the library.
     """
 
-    END = b"\xff"  # a byte that UTF-8 never has
+    END = "\uf8ff"
     #: Fixed pattern of the vocabulary.
     PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"""
     ASCII = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\\sa-z0-9]+")  # the same for printable ASCII
     #: Signs for which composing and lower-casing act on each alone.
-    PLAIN = regex.compile("[\n\x21-\x7e\xa1-ɏ]*")
+    PLAIN = regex.compile("[\n\x20-\x7e\xa1-ɏ]*")
 
     def __init__(self, path: str):
         super().__init__(path)
@@ -103,33 +101,53 @@ class WordEndEncoder(Vocabulary):
 
         if not self.ordered:
             raise ValueError(f"{path}: ids do not follow the order of merges")
-        signs, ranks = byte_signs(), {}
+        mark = self.END.encode()
+        self.shift = len(mark) - 1  # ranks of the mark's own merges
+        signs, ranks = byte_signs(), {mark[: n + 2]: n for n in range(self.shift)}
         for token, at in self.ids.items():
-            body, end = (token[:-4], self.END) if token.endswith("</w>") else (token, b"")
+            body, end = (token[:-4], mark) if token.endswith("</w>") else (token, b"")
             raw = bytes(signs[c] for c in body)
-            if self.END not in raw:
-                ranks[raw + end] = at
-        ranks[self.END] = len(self.ids) + len(ranks)  # never left over: ends merge first
-        core = tiktoken.Encoding("word-end", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})
-        self.single, self.words = core._core_bpe.encode_single_piece, regex.compile(self.PATTERN)
-        self.kept, self.kept_words = Kept(self._piece, MAX_PIECES), Kept(self._word, MAX_WORDS)
-
-    def _piece(self, piece: str) -> bytes:
-        if piece.isascii():
-            if piece.isalpha():
-                return self.kept_words[piece.lower()]
-            if piece.isprintable():
-                return b"".join(map(self.kept_words.__getitem__, self.ASCII.findall(piece.lower())))
-        if not self.PLAIN.fullmatch(piece):
-            return self.whole(piece)
-        return b"".join(map(self.kept_words.__getitem__, self.words.findall(piece.lower())))
-
-    def _word(self, word: str) -> bytes:
-        return array("I", self.single(word.encode() + self.END)).tobytes()
+            if mark[:1] not in raw or len(raw) == 1:
+                ranks[raw + end] = at + self.shift
+        self.core = tiktoken.Encoding("word-end", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})
+        self.closes = np.zeros(max(self.ids.values()) + 1, bool)
+        self.closes[[at for token, at in self.ids.items() if token.endswith("</w>")]] = True
+        self.words = regex.compile(self.PATTERN)
+
+    def _found(self, text: str) -> list[str]:
+        return (self.ASCII if text.isascii() else self.words).findall(text.lower())
+
+    def _plain(self, found: list[list[str]]) -> list[bytes]:
+        """Ids of each list of words."""
+        index = {w: i for i, w in enumerate(dict.fromkeys(chain.from_iterable(found)))}
+        if not index:
+            return [b""] * len(found)
+        marked = f"{self.END} ".join(index) + self.END
+        ids = np.frombuffer(self.core._core_bpe.encode_to_tiktoken_buffer(marked, set()), "<u4") - np.uint32(self.shift)
+        closes = np.flatnonzero(self.closes[ids]) + 1
+        begins = np.concatenate([[0], closes[:-1]])
+        edges = np.cumsum([0, *map(len, found)])
+        at = np.fromiter(map(index.__getitem__, chain.from_iterable(found)), np.int32, int(edges[-1]))
+        sizes = (closes - begins)[at]
+        upto = np.concatenate([[0], np.cumsum(sizes)])
+        raw = ids[np.repeat(begins[at] - upto[:-1], sizes) + np.arange(upto[-1])].astype("<u4").tobytes()
+        cuts = (4 * upto[edges]).tolist()
+        return [raw[a:b] for a, b in zip(cuts, cuts[1:])]
+
+    def _mixed(self, text: str) -> bytes:
+        out, plain = [], []
+        for piece in text.split(" "):
+            if self.PLAIN.fullmatch(piece):
+                plain += self._found(piece)
+            else:
+                out += [*self._plain([plain]), self.whole(piece)]
+                plain = []
+        return b"".join([*out, *self._plain([plain])])
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        get = self.kept.__getitem__
-        return [b"".join(map(get, t.split(" "))) if t else b"" for t in texts]
+        plain = [not t or bool(self.PLAIN.fullmatch(t)) for t in texts]
+        done = iter(self._plain([self._found(t or "") for t, p in zip(texts, plain, strict=True) if p]))
+        return [next(done) if p else self._mixed(t) for t, p in zip(texts, plain, strict=True)]
 
 
 def encoder(kind: type, path: str):

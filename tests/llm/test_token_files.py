@@ -87,7 +87,7 @@ def test_an_id_of_many_rows_fills_several_ranges(spark):
 
 
 def test_unbroken_runs(spark):
-    rows = [(1, " " * 1_000_001), (2, "a" * 300_000), (3, "\n" * 50_000 + "b")]
+    rows = [(1, " " * 1_000_001), (2, "a" * 300_000 + "b." * 600_000), (3, "\n" * 50_000 + "b")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     library = Tokenizer.from_file(PATH)
     got = {r.doc_id: np.frombuffer(bytes(r.ids), "<u4").tolist() for r in tf.round_trip(docs, PATH).collect()}
