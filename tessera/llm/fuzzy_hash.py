@@ -37,7 +37,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import batch, range_cuts, slices
+from tessera.llm.common import batch, lean, partition_keys, range_count, range_cuts, slices
 
 WINDOW = 7
 MIN_BLOCK = 2
@@ -163,7 +163,7 @@ def next_text_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """Fingerprints of each text, of its edited form, and their likeness; see the module's docstring."""
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    cuts = np.array(range_cuts(docs, int(spark.conf.get("spark.sql.shuffle.partitions"))), np.int64)
+    cuts = np.array(sorted(set(range_cuts(docs, range_count(docs)))), np.int64)
     low = -(1 << 63)
 
     # ranges in descending order: 0 holds the largest ids; null ids go to the last range, after all others
@@ -189,20 +189,22 @@ def next_text_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     order = sorted((row["r"], row["top"] if row["known"] else None) for row in heads)
     # the head of a range is sent to the range before it as well; the first range's to the last
     before = {r: (order[i - 1][0], top) for i, (r, top) in enumerate(order)}
+    # a task for each range
+    task = dict(zip((r for r, _ in order), partition_keys(spark, max(1, len(order)))))
 
     def deal(batches):
         tool = zstandard.ZstdCompressor(level=1)
-        schema = pa.schema([("r", pa.int64()), ("tail", pa.int32()), ("doc_id", pa.int64()), ("z", pa.binary())])
+        schema = pa.schema([("task", pa.int64()), ("r", pa.int64()), ("tail", pa.int32()), ("doc_id", pa.int64()), ("z", pa.binary())])
         for b in slices(batches):
             ids = b.column(0).to_pylist()
             ranges = range_of(np.array(b.column(0).fill_null(low))).tolist()
             rows = []
             for i, r, t in zip(ids, ranges, b.column(1).to_pylist(), strict=True):
                 z = tool.compress((t or "").encode("utf-8", "surrogatepass"))
-                rows.append((r, 0, i, z))
+                rows.append((task[r], r, 0, i, z))
                 to, top = before[r]
                 if i == top:
-                    rows.append((to, 1, i, z))
+                    rows.append((task[to], to, 1, i, z))
             yield batch(schema, list(zip(*rows, strict=True)))
 
     def run(batches):
@@ -235,7 +237,7 @@ def next_text_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 yield batch(_ARROW, list(zip(*done, strict=True)))
                 done = []
 
-    rows = docs.mapInArrow(deal, "r long, tail int, doc_id long, z binary")
+    rows = docs.mapInArrow(lean(deal), "task long, r long, tail int, doc_id long, z binary")
     order_by = ["r", "tail", F.col("doc_id").desc_nulls_last(), "z"]
-    dealt = rows.repartition(max(1, len(order)), "r").sortWithinPartitions(*order_by)
-    return dealt.mapInArrow(run, SCHEMA)
+    dealt = rows.repartition(max(1, len(order)), "task").sortWithinPartitions(*order_by)
+    return dealt.drop("task").mapInArrow(lean(run), SCHEMA)

@@ -44,6 +44,8 @@ PRUNED = 2
 BAND_LOW, BAND_HIGH, LEAST = 4.0, 2.5, 100
 #: Bytes below which a text's perplexity is a rough estimate, so that its bands are wider.
 ROUGH = 800
+#: Rows of bands, one a language, that are sent to all executors.
+MAX_LANGUAGES = 100_000
 #: Histogram steps in a unit of log10 perplexity.
 STEPS = 1000
 
@@ -232,7 +234,22 @@ def judge(
     rows = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")
     )
-    scored = measure(rows, *train(rows, "text", order, most)).drop("text")
+    return _judged(measure(rows, *train(rows, "text", order, most)).drop("text"))
+
+
+def keep(
+    docs: DataFrame, text_col="text", lang_col="lang", order: int = ORDER, most: int = ngrams.MAX_GRAMS
+) -> DataFrame:
+    """docs, all columns, without the rows that `judge` does not keep; each row has a verdict of its own."""
+    inner = ["text" if c == text_col else f"_c{i}" for i, c in enumerate(docs.columns)]
+    model = train(docs.select(F.col(text_col).alias("text")), "text", order, most)
+    rows = docs.toDF(*inner)
+    rows = rows.withColumn("lang", F.col(inner[docs.columns.index(lang_col)]).cast("string"))
+    judged = _judged(measure(rows, *model)).where("kept")
+    return judged.select(*(F.col(i).alias(c) for i, c in zip(inner, docs.columns, strict=True)))
+
+
+def _judged(scored: DataFrame) -> DataFrame:
     scored = scored.withColumns({c: F.col(c).cast("long") for c in BASE})
     per_sign = -F.col("logp") / F.col("signs")
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
@@ -244,7 +261,8 @@ def judge(
     sides = ["q1", "q3", "wide"]
     own = edges.where(~F.col("all") & (F.col("total") >= LEAST)).select(F.col("lang").alias("of"), *sides)
     every = edges.where("all").first()  # one row: the bands of all documents
-    got = scored.join(own, F.col("lang").eqNullSafe(F.col("of")), "left").drop("of")
+    few = own.count() <= MAX_LANGUAGES  # else the join is shuffled
+    got = scored.join(F.broadcast(own) if few else own, F.col("lang").eqNullSafe(F.col("of")), "left").drop("of")
     q1, q3, wide = (F.coalesce(c, F.lit(every and every[c]).cast("double")) for c in sides)
     wide = wide * F.sqrt(1 + F.lit(float(ROUGH)) / F.col("signs"))
     inside = F.col("step").between(q1 - BAND_LOW * wide, q3 + BAND_HIGH * wide)

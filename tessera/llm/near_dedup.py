@@ -42,7 +42,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import batch, slices, stage, words
+from tessera.llm.common import Kept, batch, lean, slices, stage, words
 from tessera.llm.components import components
 
 SHINGLE, THRESHOLD = 5, 80
@@ -52,8 +52,8 @@ MISS = 1e-6
 ROUNDS = 2
 #: Members of a hub or of a band that one task compares at a time.
 BLOCK = 500
-#: Words whose hashes a worker keeps before it starts anew.
-MAX_WORDS = 150_000
+#: Bytes of words that a worker keeps with their hashes, and as many from before.
+MAX_WORDS = 24 << 20
 
 _SIZE = BANDS * ROWS
 _FACTORS = np.random.default_rng(7).integers(0, 1 << 31, _SIZE, np.int64).astype(np.uint32) * np.uint32(2) + np.uint32(1)
@@ -61,13 +61,7 @@ _OFFSETS = np.random.default_rng(8).integers(0, 1 << 32, _SIZE, np.int64).astype
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
-class _WordHashes(dict):
-    def __missing__(self, word):
-        value = self[word] = xxhash.xxh64_intdigest(word)
-        return value
-
-
-_hashes = _WordHashes()
+_hashes = Kept(xxhash.xxh64_intdigest, MAX_WORDS)
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -78,8 +72,6 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 def shingle_sets(texts: list[str | None], size: int) -> list[np.ndarray]:
     """Sorted distinct 64-bit hashes of each text's shingles."""
-    if len(_hashes) > MAX_WORDS:
-        _hashes.clear()
     found = [words(t) for t in texts]
     edges = np.concatenate([[0], np.cumsum([len(f) for f in found])]).astype(int)
     flat = np.fromiter((h for f in found for h in map(_hashes.__getitem__, f)), np.uint64, int(edges[-1]))
@@ -178,7 +170,7 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
             digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
             yield batch(schema, [b.column(0), [len(s) for s in sets], digests, pa.ListArray.from_arrays(edges, pa.array(keys.reshape(-1)))])
 
-    return stage(docs.mapInArrow(run, "doc_id long, n_shingles long, digest binary, bands array<long>"), "shingle-sets")
+    return stage(docs.mapInArrow(lean(run), "doc_id long, n_shingles long, digest binary, bands array<long>"), "shingle-sets")
 
 
 def _signed_texts(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
@@ -198,9 +190,9 @@ def _signed_texts(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
             sets = shingle_sets([unzip.decompress(x).decode("utf-8", "surrogatepass") for x in z], size)
             yield batch(schema, [b.column(0), [s.tobytes() for s in signatures(sets)], z])
 
-    small = docs.where("doc_id is not null").mapInArrow(squeeze, "doc_id long, z binary")
+    small = docs.where("doc_id is not null").mapInArrow(lean(squeeze), "doc_id long, z binary")
     met = small.join(nodes.select(F.col("node").alias("doc_id")), "doc_id")
-    return stage(met.mapInArrow(sign, "node long, sig binary, z binary"), "signed-texts")
+    return stage(met.mapInArrow(lean(sign), "node long, sig binary, z binary"), "signed-texts")
 
 
 def _verified(pairs: DataFrame, signed: DataFrame, size: int, threshold: int, least: list[int]) -> DataFrame:
@@ -250,7 +242,7 @@ def _verified(pairs: DataFrame, signed: DataFrame, size: int, threshold: int, le
             if out:
                 yield batch(schema, list(zip(*out, strict=True)))
 
-    return stage(rows.mapInArrow(run, "u long, v long"), "links")
+    return stage(rows.mapInArrow(lean(run), "u long, v long"), "links")
 
 
 class _Sets:
@@ -325,7 +317,7 @@ def _block_links(mates: DataFrame, signed: DataFrame, size: int, threshold: int,
         if len(group) > 1 and (out := compare(group)):
             yield batch(schema, list(zip(*out, strict=True)))
 
-    return stage(rows.mapInArrow(run, "u long, v long"), "links")
+    return stage(rows.mapInArrow(lean(run), "u long, v long"), "links")
 
 
 def _labelled(mates: DataFrame, labels: DataFrame | None) -> DataFrame:

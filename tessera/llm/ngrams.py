@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import BinaryType, DoubleType, StructField, StructType
 
-from tessera.llm.common import batch, slices, stage, words
+from tessera.llm.common import batch, lean, slices, stage, words
 
 #: Grams that one model part may hold on the driver and in a worker (about 30 bytes each).
 MAX_GRAMS = 12_000_000
@@ -66,7 +66,7 @@ def count_grams(docs: DataFrame, order: int, text_col: str = "text") -> DataFram
                 held[:] = np.zeros(0, np.int64), np.zeros(0, np.int64)
         yield batch(schema, [pa.array(x) for x in held])
 
-    parts = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "gram long, n long")
+    parts = docs.select(F.col(text_col).alias("text")).mapInArrow(lean(run), "gram long, n long")
     return stage(parts.groupBy("gram").agg(F.sum("n").alias("n")), "grams")
 
 
@@ -109,7 +109,7 @@ def folded(docs: DataFrame, parts: list, make, finish, columns: list[str]) -> Da
                     kept = kept[:-1]
                 yield batch(schema, [*kept, *(finish(texts, got) if last else [[x.tobytes() for x in got]])])
 
-        docs = docs.mapInArrow(run, wanted)
+        docs = docs.mapInArrow(lean(run), wanted)
         if not last:
             docs = stage(docs, "folded")
     return docs

@@ -48,7 +48,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import ngrams
-from tessera.llm.common import batch, slices, stage, words
+from tessera.llm.common import Kept, batch, lean, slices, stage, words
 
 ORDER = 6
 SAMPLES, BURN_IN, ROUNDS = 3, 2, 2
@@ -322,7 +322,7 @@ def count_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
                 yield from flush()
         yield from flush()
 
-    parts = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "word long, n long")
+    parts = docs.select(F.col(text_col).alias("text")).mapInArrow(lean(run), "word long, n long")
     return stage(parts.groupBy("word").agg(F.sum("n").alias("n")), "words")
 
 

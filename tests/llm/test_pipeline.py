@@ -3,6 +3,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -62,13 +63,31 @@ def test_run_and_registration(spark):
 
 def test_nulls_and_repeats(spark):
     docs = spark.read.parquet(f"{DIR}/documents.parquet")
-    good = docs.where("length(text) > 500").limit(1)
+    good = docs.where("length(text) > 500 and doc_id < 20")
     odd = spark.createDataFrame([(None, None, None, None, None), (10**9, "", None, "s", 0)], docs.schema)
-    held = docs.union(odd).union(good)
-    for _, function in corpus_pipeline.STAGES[:-1]:
+    nameless = good.withColumn("doc_id", F.lit(None).cast("long"))  # judged like any other row
+    held = docs.union(odd).union(good).union(nameless)
+    for name, function in corpus_pipeline.STAGES[:-1]:
         held = corpus_pipeline.stage(function(spark, held, DIR), "test")
+        if name == "quality rules":  # as for the same text with a name
+            named = {r.text for r in held.where("doc_id < 20 and length(text) > 500").collect()}
     rows = held.collect()
-    assert sum(r.doc_id is None for r in rows) == 1
+    assert named and {r.text for r in rows if r.doc_id is None} == named
+    assert all(r.doc_id != 10**9 for r in rows)
     ids = [r.doc_id for r in rows if r.doc_id is not None]
     assert len(ids) == len(set(ids))
     assert zlib.crc32(b"") == 0
+
+
+def test_empty_clashing_and_long(spark):
+    docs = spark.read.parquet(f"{DIR}/documents.parquet")
+    names = ["logp", "signs", "kept", "step", "ids", "component_id", "n_words", "toxic", "score", "_sums"]
+    more = docs.where("doc_id < 60").select("*", *(docs.doc_id.alias(n) for n in names))
+    long = spark.createDataFrame([(10**9, "a word " + " " * 1_000_001 + "and more of it " * 3, "en", "s", 0, *[1] * len(names))], more.schema)
+    for held in (more.union(long), more.limit(0)):
+        n, columns = held.count(), held.columns
+        for name, function in corpus_pipeline.STAGES[:-1]:
+            held = corpus_pipeline.stage(function(spark, held, DIR), "test")
+            assert held.columns == columns, name
+        pieces = corpus_pipeline.STAGES[-1][1](spark, held, DIR)
+        assert (held.count() > 20) == (n > 0) == (pieces.count() > 0)
