@@ -2,9 +2,17 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that the one before
 kept. All but the last return the columns of documents; the last returns packed
-pieces. Rows with a null doc_id can't be named by a verdict: the toxicity stage
-judges them like all others, the later stages keep them. Rows that repeat a
-doc_id are one document, of which near-dedup keeps one row.
+pieces. Columns beyond those of documents go along, whatever their names. An
+empty table gives empty tables.
+
+Toxicity and quality rules judge each row by itself: a null or empty text is not
+toxic, and fails the quality rules. Near-dedup names documents by doc_id: rows
+that repeat one are one document, of which one row stays; rows with a null doc_id
+can't be named, so all of them stay. Packing takes every row as a document; a null
+text is an end id alone. Texts of any length go through whole.
+
+It belongs to the optional subpackage `tessera.llm` and goes with it; nothing
+else imports it.
 """
 
 from __future__ import annotations
@@ -14,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import kneser_ney, near_dedup, packing, toxicity
-from tessera.llm.common import small_batches, stage
+from tessera.llm.common import drop_path, scratch_path, small_batches, stage
 
 TOXIC = 0.7
 
@@ -37,8 +45,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents that fail the base rules or lie outside their language's perplexity bands."""
     small_batches(spark)
-    judged = kneser_ney.judge(docs)
-    return _named(docs, judged.where("kept"))
+    return kneser_ney.keep(docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -70,7 +77,11 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in order, each written as Parquet in the shared folder and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, function in STAGES[:-1]:
-        docs = stage(function(spark, docs, sf_dir), "pipeline-" + name.replace(" ", "-"))
+        path = scratch_path(spark, "pipeline-" + name.replace(" ", "-"))
+        docs = stage(function(spark, docs, sf_dir), name, path)
+        if before:  # all that was read from it has been written
+            drop_path(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
