@@ -48,7 +48,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import ngrams
-from tessera.llm.common import Kept, batch, lean, slices, stage, words
+from tessera.llm.common import batch, give_back, lean, slices, stage, words
 
 ORDER = 6
 SAMPLES, BURN_IN, ROUNDS = 3, 2, 2
@@ -291,13 +291,17 @@ def train(docs: DataFrame, text_col: str = "text", order: int = ORDER, most: int
             t = cells.where(F.col("size") == size)
             if len(parts) > 1:
                 t = t.where(ngrams.last_context(F.col("gram")).isin(part.tolist()))
-            rows = t.drop("size").toArrow()
+            rows = t.select("gram", *(F.col(f"p{s}").cast("float") for s in range(SAMPLES))).toArrow()
             grams = rows["gram"].to_numpy()
             by = np.argsort(grams)
-            p = np.stack([rows[f"p{s}"].to_numpy()[by].astype(np.float32) for s in range(SAMPLES)], 1)
-            context, first = np.unique(grams[by] >> 8, return_index=True)
-            w = np.stack([rows[f"w{s}"].to_numpy()[by][first].astype(np.float32) for s in range(SAMPLES)], 1)
-            got.append((grams[by], p, context, w))
+            grams, p = grams[by], np.stack([rows[f"p{s}"].to_numpy()[by] for s in range(SAMPLES)], 1)
+            room = F.shiftright("gram", 8).alias("room")  # all dishes of a restaurant have its weights
+            rows = t.groupBy(room).agg(*(F.first(f"w{s}").cast("float").alias(f"w{s}") for s in range(SAMPLES))).toArrow()
+            context = rows["room"].to_numpy()
+            by = np.argsort(context)
+            got.append((grams, p, context[by], np.stack([rows[f"w{s}"].to_numpy()[by] for s in range(SAMPLES)], 1)))
+            del rows, by
+            give_back()
         return PitmanYor(got)
 
     return parts, make
@@ -377,6 +381,8 @@ def score(
         by = np.argsort(keys)
         spark = rows.sparkSession.sparkContext
         sent, listed = spark.broadcast(model), spark.broadcast((keys[by], got["n"].to_numpy()[by]))
+        del model, got, keys, by
+        give_back()
         mine = np.zeros(256, bool)
         mine[part] = True
         held = {}
