@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import codec_queries, pixel_queries
+from tessera.plans import codec_queries, derived_queries, pixel_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,8 +17,8 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return pixel_queries.queries() | codec_queries.queries()
+    return pixel_queries.queries() | derived_queries.queries() | codec_queries.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return pixel_queries.oracle_sql() | codec_queries.oracle_sql()
+    return pixel_queries.oracle_sql() | derived_queries.oracle_sql() | codec_queries.oracle_sql()
