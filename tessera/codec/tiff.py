@@ -7,10 +7,12 @@ import zlib
 
 import numpy as np
 
-from tessera.codec import Malformed, Refused, Unsupported, check_budget
+from tessera.codec import Malformed, Refused, Unsupported, check_budget, fax
 
 _SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8}
 _LETTERS = {1: "B", 3: "H", 4: "I", 6: "b", 8: "h", 9: "i"}
+#: Fax compressions: one-dimensional rows at byte bounds, T.4, T.6.
+FAX = (2, 3, 4)
 #: Most bytes that one image may inflate to.
 MAX_BYTES = 1 << 30
 
@@ -130,6 +132,15 @@ def _unpacked(raw: bytes, method: int, most: int) -> bytes:
     return out
 
 
+def _fax_lines(raw: bytes, f: dict, columns: int, rows: int) -> bytes:
+    """Packed rows of a fax block; a set bit is black."""
+    k = {2: 0, 3: f["fax"] & 1, 4: -1}[f["method"]]
+    got = fax.decode(raw, k, columns, rows, byte_align=f["method"] == 2)
+    if len(got) < rows:
+        raise Malformed("TIFF: too little image data")
+    return np.packbits(got, axis=1).tobytes()
+
+
 def facts(data: bytes, tags: dict[int, list]) -> dict:
     """What a page's directory declares, checked; the same refusals as decoding."""
 
@@ -154,7 +165,9 @@ def facts(data: bytes, tags: dict[int, list]) -> dict:
         reason = f"TIFF: bits {bits}"
     elif photometric not in (0, 1, 2, 3):
         reason = f"TIFF: photometric {photometric}"
-    elif one(259, 1) not in (1, 5, 8, 32946, 32773):
+    elif one(259, 1) in FAX and (bits != [1] or photometric not in (0, 1)):
+        reason = f"TIFF: fax of bits {bits}"
+    elif one(259, 1) not in (1, 5, 8, 32946, 32773, *FAX):
         reason = f"TIFF: compression {one(259)}"
     elif one(317, 1) not in (1, 2) or (one(317, 1) == 2 and bits[0] < 8):
         reason = f"TIFF: predictor {one(317)}"
@@ -162,7 +175,7 @@ def facts(data: bytes, tags: dict[int, list]) -> dict:
         reason = "TIFF: sample format or fill order"
     return {
         "width": width, "height": height, "bits": bits[0], "samples": samples, "photometric": photometric, "planar": one(284, 1),
-        "method": one(259, 1), "predictor": one(317, 1), "extra": extra, "reason": reason, "fill": one(266, 1), "orientation": one(274, 1),
+        "method": one(259, 1), "predictor": one(317, 1), "extra": extra, "reason": reason, "fill": one(266, 1), "orientation": one(274, 1), "fax": one(292, 0),
         "tile": (one(322), one(323)) if one(322) else None, "rows": min(one(278, height) or height, height),
         "offsets": tags.get(324) or tags.get(273) or [], "counts": tags.get(325) or tags.get(279) or [],
     }
@@ -194,7 +207,8 @@ def samples16(data: bytes, page: int = 0) -> tuple[np.ndarray, dict]:
         raw = data[f["offsets"][i] : f["offsets"][i] + f["counts"][i]]
         if f["fill"] == 2:
             raw = raw.translate(bytes(int(f"{b:08b}"[::-1], 2) for b in range(256)))
-        lines = np.frombuffer(_unpacked(raw, f["method"], stride * rows), np.uint8).reshape(rows, stride)
+        lines = _fax_lines(raw, f, bw, rows) if f["method"] in FAX else _unpacked(raw, f["method"], stride * rows)
+        lines = np.frombuffer(lines, np.uint8).reshape(rows, stride)
         if bits == 16:
             block = lines.reshape(rows, -1).view(e + "u2").reshape(rows, bw, per).astype(np.uint16)
         elif bits == 8:
@@ -234,6 +248,25 @@ def decode(data: bytes, page: int = 0) -> np.ndarray:
     return np.concatenate([rgb, alpha[..., None]], -1).astype(np.uint8)
 
 
+def _directory(out: bytearray, link: int, entries: list, order: str) -> int:
+    """Writes a directory at the end and its place at `link`; gives the place of the next one's link."""
+    body = bytearray(struct.pack(order + "H", len(entries)))
+    at = len(out)
+    spare = at + 2 + 12 * len(entries) + 4
+    tail = bytearray()
+    for tag, kind, values in entries:
+        raw = struct.pack(f"{order}{len(values)}{'H' if kind == 3 else 'I'}", *values)
+        body += struct.pack(order + "HHI", tag, kind, len(values))
+        if len(raw) <= 4:
+            body += raw.ljust(4, b"\0")
+        else:
+            body += struct.pack(order + "I", spare + len(tail))
+            tail += raw + b"\0" * (len(raw) % 2)
+    struct.pack_into(order + "I", out, link, at)
+    out += body + struct.pack(order + "I", 0) + tail
+    return at + len(body)
+
+
 def encode(images: list[np.ndarray], order: str = "<") -> bytes:
     """Pages of gray or colour, with alpha when a pixel is not opaque; uint8 or uint16 samples, Deflate, differenced."""
     out = bytearray((b"II*\0" if order == "<" else b"MM\0*") + struct.pack(order + "I", 0))
@@ -261,19 +294,17 @@ def encode(images: list[np.ndarray], order: str = "<") -> bytes:
         entries.append((317, 3, [2]))
         if alpha:
             entries.append((338, 3, [2]))
-        body = bytearray(struct.pack(order + "H", len(entries)))
-        at = len(out)
-        spare = at + 2 + 12 * len(entries) + 4
-        tail = bytearray()
-        for tag, kind, values in entries:
-            raw = struct.pack(f"{order}{len(values)}{'H' if kind == 3 else 'I'}", *values)
-            body += struct.pack(order + "HHI", tag, kind, len(values))
-            if len(raw) <= 4:
-                body += raw.ljust(4, b"\0")
-            else:
-                body += struct.pack(order + "I", spare + len(tail))
-                tail += raw + b"\0" * (len(raw) % 2)
-        struct.pack_into(order + "I", out, link, at)
-        out += body + struct.pack(order + "I", 0) + tail
-        link = at + len(body)
+        link = _directory(out, link, entries, order)
+    return bytes(out)
+
+
+def encode_bilevel(image: np.ndarray, method: int = 4) -> bytes:
+    """A page of black and white, by luma below and from 128 on, as fax codes: one-dimensional (2) or two-dimensional (4)."""
+    black = ((image[..., :3].astype(np.int64) @ np.array([77, 150, 29])) >> 8 < 128).astype(np.uint8)
+    raw = fax.encode(black, 0 if method == 2 else -1)
+    out = bytearray(b"II*\0" + bytes(4)) + raw + b"\0" * (len(raw) % 2)
+    height, width = black.shape
+    entries = [(256, 4, [width]), (257, 4, [height]), (258, 3, [1]), (259, 3, [method]), (262, 3, [0]), (273, 4, [8]), (277, 3, [1]),
+               (278, 4, [height]), (279, 4, [len(raw)])]
+    _directory(out, 4, entries, "<")
     return bytes(out)
