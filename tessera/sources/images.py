@@ -16,7 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.codec import Malformed, Refused, Unsupported, bmp, gif, jpeg, png, probe, scale, tiff, webp
+from tessera.functions import pixel_math as pm
+from tessera.codec import Malformed, Refused, Unsupported, bmp, declared, gif, jpeg, png, probe, scale, tiff, webp
 
 #: Rows of an Arrow slice that are decoded together, and pixel rows of one result batch.
 ROWS, PIXELS = 32, 1 << 18
@@ -28,8 +29,28 @@ INFO = (
 
 
 def read_images(spark: SparkSession, path: str, most_bytes: int = 1 << 30) -> DataFrame:
-    """path, length and content of files; the size test is pushed into the scan, and unused content is never read."""
-    return spark.read.format("binaryFile").load(path).where(F.col("length") < most_bytes).select("path", "length", "content")
+    """path, length, content and status of files; unused content is never read.
+
+    Files of most_bytes and more come back without content and as refused: two
+    scans, whose size tests are pushed down, so no such file is ever loaded.
+    """
+    files = spark.read.format("binaryFile").load(path)
+    good = files.where(F.col("length") < most_bytes).select("path", "length", "content", F.lit("ok").alias("status"))
+    large = files.where(F.col("length") >= most_bytes).select("path", "length", F.lit(None).cast("binary").alias("content"), F.lit("refused").alias("status"))
+    return good.unionByName(large)
+
+
+def claims_column(content: Column, prefix: int = 1 << 16) -> Column:
+    """Whether this build takes a file on, judged by its first bytes as a loader sees them.
+
+    A file whose prefix probes as decodable is taken; WebP is probed whole, and
+    TIFF and JPEG 2000, whose headers may lie further on, are taken if the probe fails.
+    """
+    form = pm.sniff(content)
+    head = F.when(form == "WEBP", content).otherwise(F.substring(content, 1, prefix))
+    info = probe_column(head)
+    failed = (info["status"] != "ok") & form.isin("TIFF", "JP2")
+    return F.coalesce((info["status"] == "ok") & info["is_decodable"], F.lit(False)) | F.coalesce(failed, F.lit(False))
 
 
 def guarded(work):
@@ -82,15 +103,17 @@ def _upright(data: bytes, image: np.ndarray) -> np.ndarray:
 
 def decode_pixels(
     images: DataFrame, id_col: str = "img_id", content_col: str = "content", frames: bool = False, max_frames: int | None = None,
-    page: int = 0, upright: bool = False, box: tuple[int, int] | None = None, reduction: int = 1,
+    page: int = 0, upright: bool = False, box: tuple[int, int] | None = None, reduction: int = 1, srgb: bool = False,
 ) -> DataFrame:
     """Pixel rows of every file that decodes; with frames, of every composited frame.
 
     upright turns by EXIF; reduction averages blocks, box scales down into a
-    width and height, both within the task, so no full-size pixels leave it.
+    width and height, both within the task, so no full-size pixels leave it. srgb
+    converts from the colours that the file declares, before anything else.
     """
 
     def fit(data, image):
+        image = declared.to_srgb(image, data) if srgb else image
         image = scale.reduced(_upright(data, image) if upright else image, reduction)
         return scale.scaled(image, *box) if box else image
 
@@ -146,7 +169,7 @@ def tiff_pages(images: DataFrame, id_col: str = "img_id", content_col: str = "co
     return images.select(F.col(id_col).cast("bigint"), content_col).mapInArrow(run, "img_id bigint, page bigint, width bigint, height bigint")
 
 
-ENCODERS = {"jpeg": jpeg.encode, "png": png.encode, "bmp": bmp.encode, "gif": gif.encode, "tiff": lambda image: tiff.encode([image]), "webp": webp.encode, "tiff16": lambda image: tiff.encode([image.astype(np.uint16) * 257])}
+ENCODERS = {"jpeg": jpeg.encode, "png": png.encode, "bmp": bmp.encode, "gif": gif.encode, "tiff": lambda image: tiff.encode([image]), "webp": webp.encode, "tiff-fax": tiff.encode_bilevel, "tiff16": lambda image: tiff.encode([image.astype(np.uint16) * 257])}
 
 
 def _gathered(px: DataFrame, keys: list[str]) -> DataFrame:
