@@ -70,52 +70,29 @@ def s03_s06_probe_png(spark, d):
     return files.select("img_id", *(F.col(f"info.{n}").alias(n) for n in names))
 
 
-def _animations(spark, d, form, frames=None):
-    """Every animation as one file of all its frames, or of the first ones where the SQL has no more."""
+def _animations(spark, d, form):
+    """Every animation as one file of all its frames."""
     fr = px.frames(px.tiles(spark, d))
-    if frames is not None:
-        fr = fr.where(F.col("frame_idx") < frames)
     return images.encode_animations(fr, form).select(F.col("anim_id").alias("img_id"), "content")
 
 
-@query(FRAMES + " SELECT anim_id AS img_id, frame_idx, x, y, a, r, g, b FROM frames WHERE frame_idx < 4")
-def d07_apng_frames(spark, d):
-    return images.decode_pixels(_animations(spark, d, "png", 4), frames=True)
-
-
-@query(FRAMES + " SELECT anim_id AS img_id, frame_idx, x, y, " + ", ".join(f"CASE WHEN a < 128 THEN 0 ELSE {v} END AS {c}" for c, v in (("a", "255::BIGINT"), ("r", "r"), ("g", "g"), ("b", "b"))) + " FROM frames WHERE frame_idx < 4")
-def d07_gif_frames(spark, d):
-    return images.decode_pixels(_animations(spark, d, "gif", 4), frames=True)
-
-
-@query(FRAMES + " SELECT DISTINCT anim_id AS img_id, frame_idx AS page, 8::BIGINT AS width, 8::BIGINT AS height FROM frames WHERE frame_idx < 4")
-def s16_tiff_pages(spark, d):
-    return images.tiff_pages(_animations(spark, d, "tiff", 4))
-
-
-@query(FRAMES + " SELECT anim_id AS img_id, 'ok' AS status, count(DISTINCT frame_idx) AS frames, CASE WHEN count(DISTINCT frame_idx) = 1 THEN 1 ELSE 0 END AS plays FROM frames WHERE frame_idx < 4 GROUP BY anim_id")
-def d07_status(spark, d):
-    got = images.decode_status(_animations(spark, d, "png", 4))
-    return got.select("img_id", "status", "frames", F.col("plays").cast("int").alias("plays"))
-
-
 @query(FRAMES + " SELECT anim_id AS img_id, frame_idx, x, y, a, r, g, b FROM frames")
-def d07_apng_all_frames(spark, d):
+def d07_apng_frames(spark, d):
     return images.decode_pixels(_animations(spark, d, "png"), frames=True)
 
 
 @query(FRAMES + " SELECT anim_id AS img_id, frame_idx, x, y, " + ", ".join(f"CASE WHEN a < 128 THEN 0 ELSE {v} END AS {c}" for c, v in (("a", "255::BIGINT"), ("r", "r"), ("g", "g"), ("b", "b"))) + " FROM frames")
-def d07_gif_all_frames(spark, d):
+def d07_gif_frames(spark, d):
     return images.decode_pixels(_animations(spark, d, "gif"), frames=True)
 
 
 @query(FRAMES + " SELECT DISTINCT anim_id AS img_id, frame_idx AS page, 8::BIGINT AS width, 8::BIGINT AS height FROM frames")
-def s16_tiff_all_pages(spark, d):
+def s16_tiff_pages(spark, d):
     return images.tiff_pages(_animations(spark, d, "tiff"))
 
 
 @query(FRAMES + " SELECT anim_id AS img_id, 'ok' AS status, count(DISTINCT frame_idx) AS frames, CASE WHEN count(DISTINCT frame_idx) = 1 THEN 1 ELSE 0 END AS plays FROM frames GROUP BY anim_id")
-def d07_status_all_frames(spark, d):
+def d07_status(spark, d):
     got = images.decode_status(_animations(spark, d, "png"))
     return got.select("img_id", "status", "frames", F.col("plays").cast("int").alias("plays"))
 
@@ -217,3 +194,38 @@ def d04_decode_reduced(spark, d):
   SELECT img_id, x, y, c::BIGINT AS c, v FROM s JOIN z USING (img_id) WHERE c < 3 OR alpha""")
 def d03_samples16(spark, d):
     return images.decode_samples16(images.encode_images(px.tiles(spark, d), "tiff16"))
+
+
+@query(FRAMES + """ SELECT anim_id AS img_id, x, y + 8 * frame_idx AS y, 255::BIGINT AS a, l AS r, l AS g, l AS b
+  FROM (SELECT *, CASE WHEN (77 * r + 150 * g + 29 * b) >> 8 < 128 THEN 0 ELSE 255 END::BIGINT AS l FROM frames)""")
+def d12_fax_pages(spark, d):
+    """Every animation as one column of tiles, in black and white, through two-dimensional fax codes in TIFF."""
+    fr = px.frames(px.tiles(spark, d))
+    page = fr.select(F.col("anim_id").alias("img_id"), "x", (F.col("y") + 8 * F.col("frame_idx")).alias("y"), "a", "r", "g", "b")
+    return images.decode_pixels(images.encode_images(page, "tiff-fax")).select(*px.PIXEL)
+
+
+_SRGB = "floor((CASE WHEN {0} / 255 <= 0.0031308 THEN {0} / 255 * 12.92 ELSE 1.055 * pow({0} / 255, 1 / 2.4) - 0.055 END) * 255 + 0.5)::BIGINT"
+
+
+@query(TILES + " SELECT img_id, x, y, a, " + ", ".join(_SRGB.format(c) + f" AS {c}" for c in "rgb") + " FROM tiles")
+def c01_declared_linear(spark, d):
+    """PNG tiles that declare linear light (gamma 1), decoded to sRGB."""
+    import struct
+    import zlib
+
+    body = b"gAMA" + struct.pack(">I", 100_000)
+    chunk = struct.pack(">I", 4) + body + struct.pack(">I", zlib.crc32(body))
+    whole = F.col("content")
+    marked = F.concat(F.substring(whole, 1, 33), F.lit(chunk), F.substring(whole, 34, 1 << 30))
+    files = images.encode_images(px.tiles(spark, d), "png").withColumn("content", marked)
+    return images.decode_pixels(files, srgb=True).select(*px.PIXEL)
+
+
+@query("SELECT doc_id, doc_id % 4 = 3 AS claimed FROM documents")
+def s17_claims(spark, d):
+    """Magic bytes before whole texts: only what may be a TIFF further on is taken."""
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    head = F.element_at(F.array(*(F.unhex(F.lit(m)) for m in ("89504E470D0A1A0A", "424D", "524946460000000057454250", "49492A00"))), (F.col("doc_id") % 4 + 1).cast("int"))
+    files = docs.select("doc_id", F.concat(head, F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("content"))
+    return files.select("doc_id", images.claims_column(F.col("content")).alias("claimed"))
