@@ -296,14 +296,15 @@ class _Decoder:
                 k += 1
             self.run -= 1
 
-    def planes(self) -> list[np.ndarray]:
-        """Stored samples of each component, whole blocks included."""
+    def planes(self, side: int = 8) -> list[np.ndarray]:
+        """Stored samples of each component, whole blocks included, with blocks of side x side."""
         out = []
         for c in self.parts:
             if c.table not in self.quant:
                 raise Malformed("JPEG: no quantization table")
-            pixels = inverse(c.blocks.astype(np.int64) * self.quant[c.table])
-            out.append(pixels.reshape(c.rows, c.columns, 8, 8).swapaxes(1, 2).reshape(c.rows * 8, c.columns * 8))
+            scaled = c.blocks.astype(np.int64) * self.quant[c.table]
+            pixels = inverse(scaled) if side == 8 else inverse_small(scaled, side)
+            out.append(pixels.reshape(c.rows, c.columns, side, side).swapaxes(1, 2).reshape(c.rows * side, c.columns * side))
         return out
 
 
@@ -374,13 +375,21 @@ def _multiply(x, y):
     return (t + (t >> 8)) >> 8
 
 
-def components(data: bytes) -> list[np.ndarray]:
-    """Stored components at full size, before colour conversion."""
+def inverse_small(blocks: np.ndarray, side: int) -> np.ndarray:
+    """Samples (n, side, side) of dequantized blocks at a half, a quarter or an eighth of their size: averages of the full ones."""
+    k = np.arange(8)
+    basis = np.cos((2 * k[None] + 1) * k[:, None] * np.pi / 16) * np.where(k == 0, np.sqrt(1 / 8), 0.5)[:, None]
+    means = basis.reshape(8, side, 8 // side).mean(2)
+    return np.clip(np.floor(means.T @ blocks.reshape(-1, 8, 8) @ means + 128.5), 0, 255).astype(np.uint8)
+
+
+def components(data: bytes, reduction: int = 1) -> list[np.ndarray]:
+    """Stored components at full size (or a half, a quarter, an eighth, rounded up), before colour conversion."""
     d = _Decoder(data)
-    width, height = d.size
+    width, height = (-(-n // reduction) for n in d.size)
     out = []
-    for c, plane in zip(d.parts, d.planes()):
-        plane = plane[: c.height, : c.width]
+    for c, plane in zip(d.parts, d.planes(8 // reduction)):
+        plane = plane[: -(-c.height // reduction), : -(-c.width // reduction)]
         if d.hmax % c.h or d.vmax % c.v:
             rows, columns = np.arange(height) * c.v // d.vmax, np.arange(width) * c.h // d.hmax
             out.append(plane[rows][:, columns].astype(np.int64))
@@ -389,8 +398,20 @@ def components(data: bytes) -> list[np.ndarray]:
     return out, d
 
 
-def decode(data: bytes) -> np.ndarray:
-    planes, d = components(data)
+def frame_kind(data: bytes) -> int | None:
+    """Marker of the frame header."""
+    return next((marker for marker, _, _ in _segments(data) if 0xC0 <= marker <= 0xCF and marker not in (0xC4, 0xC8, 0xCC)), None)
+
+
+def decode(data: bytes, reduction: int = 1) -> np.ndarray:
+    """r, g, b, a; with a reduction of 2, 4 or 8 the inverse transform itself gives the smaller picture."""
+    if reduction not in (1, 2, 4, 8):
+        raise ValueError("reductions of 1, 2, 4 and 8")
+    if frame_kind(data) == 0xC3:
+        from tessera.codec import jpeg_lossless, scale
+
+        return scale.reduced(jpeg_lossless.decode(data), reduction)
+    planes, d = components(data, reduction)
     names = bytes(c.name for c in d.parts)
     if len(planes) == 1:
         rgb = planes * 3

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import struct
 
-from tessera.codec import Malformed, Refused, Unsupported, bmp, check_budget, gif, jpeg, png, tiff, webp
+from tessera.codec import Malformed, Refused, Unsupported, bmp, check_budget, gif, jpeg, png, scale, tiff, webp
 
 FIELDS = [
     "format", "width", "height", "bit_depth", "has_alpha", "frame_count", "loop_count", "orientation", "is_decodable",
@@ -104,7 +104,7 @@ def _jpeg(data):
                 break
             depth, height, width, parts = struct.unpack_from(">BHHB", data, at + 4)
             reason = _budget(width, height, len(data), 8)
-            if marker > 0xC2 or depth != 8:
+            if (marker > 0xC2 or depth != 8) and not (marker == 0xC3 and 2 <= depth <= 16):
                 reason = f"JPEG: frame type {marker:#x} with {depth} bits"
             return _info("JPEG", width, height, depth, False, parts, orientation=orientation, reason=reason)
         if marker in (0xD9, 0xDA) or size < 2:
@@ -277,9 +277,11 @@ def probe(data: bytes, page: int = 0) -> dict:
     return walkers[form](data)
 
 
-def decode(data: bytes, page: int = 0):
-    """The first composited image of a file, as r, g, b, a."""
+def decode(data: bytes, page: int = 0, reduction: int = 1):
+    """The first composited image of a file, as r, g, b, a; JPEG files are reduced by their inverse transform, others by averages."""
     form = sniff(data)
+    if reduction != 1:
+        return jpeg.decode(data, reduction) if form == "JPEG" and reduction in (2, 4, 8) else scale.reduced(decode(data, page), reduction)
     if page and form != "TIFF":
         raise ValueError("only TIFF has further pages")
     if form == "TIFF":

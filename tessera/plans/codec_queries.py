@@ -229,3 +229,18 @@ def s17_claims(spark, d):
     head = F.element_at(F.array(*(F.unhex(F.lit(m)) for m in ("89504E470D0A1A0A", "424D", "524946460000000057454250", "49492A00"))), (F.col("doc_id") % 4 + 1).cast("int"))
     files = docs.select("doc_id", F.concat(head, F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("content"))
     return files.select("doc_id", images.claims_column(F.col("content")).alias("claimed"))
+
+
+@query(TILES + " SELECT img_id, x, y, 255::BIGINT AS a, r, g, b FROM tiles")
+def f05_jpeg_lossless(spark, d):
+    """Colours of the tiles through lossless JPEG; alpha is not stored."""
+    return _round_trip(spark, d, "jpeg-lossless")
+
+
+@query(TILES + """ SELECT img_id, (x // 4) AS x, (y // 4) AS y, 255::BIGINT AS a, 40 + (img_id % 5) * 30 AS r, 40 + (img_id % 5) * 30 AS g, 40 + (img_id % 5) * 30 AS b
+  FROM tiles WHERE x % 4 = 0 AND y % 4 = 0""")
+def f08_jpeg_reduced(spark, d):
+    """Even gray tiles written as JPEG and read at a quarter of their size by the inverse transform."""
+    gray = (40 + (F.col("img_id") % 5) * 30).cast("bigint")
+    t = px.tiles(spark, d).select("img_id", "x", "y", F.lit(255).cast("bigint").alias("a"), *(gray.alias(c) for c in "rgb"))
+    return images.decode_pixels(images.encode_images(t, "jpeg"), reduction=4).select(*px.PIXEL)

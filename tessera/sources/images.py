@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import pixel_math as pm
-from tessera.codec import Malformed, Refused, Unsupported, bmp, declared, gif, jpeg, png, probe, scale, tiff, webp
+from tessera.codec import Malformed, Refused, Unsupported, bmp, declared, gif, jpeg, jpeg_lossless, png, probe, scale, tiff, webp
 
 #: Rows of an Arrow slice that are decoded together, and pixel rows of one result batch.
 ROWS, PIXELS = 32, 1 << 18
@@ -112,9 +112,13 @@ def decode_pixels(
     converts from the colours that the file declares, before anything else.
     """
 
+    def fused(data):  # the inverse transform of JPEG gives smaller pictures itself
+        return not frames and reduction in (2, 4, 8) and data[:2] == b"\xff\xd8"
+
     def fit(data, image):
         image = declared.to_srgb(image, data) if srgb else image
-        image = scale.reduced(_upright(data, image) if upright else image, reduction)
+        image = _upright(data, image) if upright else image
+        image = image if fused(data) else scale.reduced(image, reduction)
         return scale.scaled(image, *box) if box else image
 
     def run(batches):
@@ -128,7 +132,7 @@ def decode_pixels(
                         status, _, got = guarded(lambda d=data: probe.decode_frames(d, max_frames))
                         shown = [f for f, _ in got[0]] if status == "ok" else []
                     else:
-                        status, _, got = guarded(lambda d=data: probe.decode(d, page))
+                        status, _, got = guarded(lambda d=data: probe.decode(d, page, reduction if fused(d) else 1))
                         shown = [got] if status == "ok" else []
                     for i, image in enumerate(shown):
                         yield from _pixel_batches(img_id, i, fit(data, image))
@@ -169,7 +173,7 @@ def tiff_pages(images: DataFrame, id_col: str = "img_id", content_col: str = "co
     return images.select(F.col(id_col).cast("bigint"), content_col).mapInArrow(run, "img_id bigint, page bigint, width bigint, height bigint")
 
 
-ENCODERS = {"jpeg": jpeg.encode, "png": png.encode, "bmp": bmp.encode, "gif": gif.encode, "tiff": lambda image: tiff.encode([image]), "webp": webp.encode, "tiff-fax": tiff.encode_bilevel, "tiff16": lambda image: tiff.encode([image.astype(np.uint16) * 257])}
+ENCODERS = {"jpeg": jpeg.encode, "png": png.encode, "bmp": bmp.encode, "gif": gif.encode, "tiff": lambda image: tiff.encode([image]), "webp": webp.encode, "tiff-fax": tiff.encode_bilevel, "jpeg-lossless": lambda image: jpeg_lossless.encode(image[..., :3]), "tiff16": lambda image: tiff.encode([image.astype(np.uint16) * 257])}
 
 
 def _gathered(px: DataFrame, keys: list[str]) -> DataFrame:
