@@ -17,8 +17,9 @@ components are joined. What still shares a band across components after ROUNDS
 rounds is compared in blocks, without a cap: members of a band are dealt to
 pairs of blocks, tested by signatures, verified within the task, and joined
 there, so that few links leave it. The last joining of components follows. Hub
-and block groups are salted, so none is unbounded; texts travel compressed, and
-only those that share a band.
+and block groups are salted, and what is known of a hot band, hub or set is
+broadcast (see `_spread`), so no task meets one whole; texts travel compressed,
+and only those that share a band.
 
 The miss rate of the bands for a pair at the threshold is (1 - 0.8^6)^32, about
 6e-5; the posterior bound adds about MISS.
@@ -52,6 +53,8 @@ MISS = 1e-6
 ROUNDS = 2
 #: Members of a hub or of a band that one task compares at a time.
 BLOCK = 500
+#: A key with over a HOT_KEYS-th of all rows is hot, so there are fewer hot keys than this.
+HOT_KEYS = 1000
 #: Bytes of words that a worker keeps with their hashes, and as many from before.
 MAX_WORDS = 24 << 20
 
@@ -158,6 +161,19 @@ def linked(a: np.ndarray, b: np.ndarray, threshold: int) -> bool:
     return 100 * shared >= threshold * (len(a) + len(b) - shared) and shared > 0
 
 
+def _spread(rows: DataFrame, facts: DataFrame, key: str) -> DataFrame:
+    """rows joined with the facts of their key, one row a key, in whose column n is how many rows have it.
+
+    Hot keys' facts are broadcast, fewer than HOT_KEYS rows; the others' are
+    joined by a shuffle in which no key has more than a HOT_KEYS-th of the rows.
+    """
+    total = facts.agg(F.sum("n")).first()[0] or 0
+    hot = facts.where(F.col("n") * HOT_KEYS > total)
+    met = rows.join(F.broadcast(hot), key)
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
+    return met.unionByName(rest.join(facts.where(F.col("n") * HOT_KEYS <= total), key)).drop("n")
+
+
 def _sets(docs: DataFrame, size: int) -> DataFrame:
     """doc_id, n_shingles, digest of the set, band keys; narrow, staged."""
     schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("bands", pa.list_(pa.int64()))])
@@ -201,8 +217,9 @@ def _verified(pairs: DataFrame, signed: DataFrame, size: int, threshold: int, le
     A hub's rows are dealt to as many salts as it has blocks of members, and
     stream by in order behind the hub's own row, so only the hub is held.
     """
-    counts = pairs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("salts"))
-    members = pairs.join(counts, "hub").select(
+    salts = F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("salts")
+    counts = stage(pairs.groupBy("hub").agg(F.count(F.lit(1)).alias("n"), salts), "hub-sizes")
+    members = _spread(pairs, counts, "hub").select(
         "hub", F.pmod(F.xxhash64("node"), "salts").cast("int").alias("salt"), F.lit(1).alias("kind"), "node"
     )
     hubs = counts.select("hub", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("kind"), F.col("hub").alias("node"))
@@ -273,8 +290,9 @@ def _block_links(mates: DataFrame, signed: DataFrame, size: int, threshold: int,
     its two components are joined within the task, so a task emits fewer links
     than it has members.
     """
-    sizes = mates.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    dealt = mates.join(sizes, "band").withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    blocks = F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")
+    sizes = stage(mates.groupBy("band").agg(F.count(F.lit(1)).alias("n"), blocks), "band-sizes")
+    dealt = _spread(mates, sizes, "band").withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
     dealt = dealt.select("band", "node", "component", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     keys = (F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
     rows = dealt.select("band", *keys, "own", "node", "component").join(signed, "node")
@@ -327,8 +345,9 @@ def _labelled(mates: DataFrame, labels: DataFrame | None) -> DataFrame:
     else:
         named = mates.drop("component").join(labels, "node", "left")
         found = named.withColumn("component", F.coalesce("component", "node"))
-    mixed = found.groupBy("band").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b")
-    return stage(found.join(mixed.select("band"), "band", "left_semi"), "band-mates")
+    least, most = F.min("component").alias("a"), F.max("component").alias("b")
+    mixed = found.groupBy("band").agg(least, most, F.count(F.lit(1)).alias("n")).where("a < b").select("band", "n")
+    return stage(_spread(found, stage(mixed, "mixed-bands"), "band"), "band-mates")
 
 
 def near_duplicates(
@@ -345,18 +364,19 @@ def near_duplicates(
     least = least_matches(threshold, miss)
     found = _sets(docs, shingle)
     named = found.where("doc_id is not null and n_shingles > 0")
-    nodes = named.groupBy("digest").agg(F.min("doc_id").alias("node"))
+    nodes = named.groupBy("digest").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("n"))
     nodes = stage(nodes, "nodes")
 
     # a set's bands are those of any of its rows: the representative's are taken
     own = named.select(F.col("doc_id").alias("node"), "digest", "bands").join(nodes, ["digest", "node"], "left_semi")
-    bands = own.select("node", F.explode("bands").alias("band")).distinct()
-    shared = bands.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    mates = stage(bands.join(shared, "band"), "band-mates")
+    bands = stage(own.select("node", F.explode("bands").alias("band")).distinct(), "bands")
+    shared = stage(bands.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shared-bands")
+    shared = shared.withColumn("size", F.col("n"))
+    mates = stage(_spread(bands, shared, "band"), "band-mates")
     if mates.isEmpty():
         return _result(found, nodes, None)
     signed = _signed_texts(docs, mates.select("node").distinct(), shingle)
-    weight = mates.groupBy("node").agg(F.sum("n").alias("weight"))
+    weight = mates.groupBy("node").agg(F.sum("size").alias("weight"))
     mates = stage(mates.join(weight, "node").select("band", "node", "weight"), "band-mates")
 
     labels, links, used = None, None, None
@@ -364,10 +384,11 @@ def near_duplicates(
         mates = _labelled(mates, labels)
         free = mates if used is None else mates.join(used, ["band", "node"], "left_anti")
         best = F.max(F.struct("weight", (-F.col("node")).alias("node"))).alias("best")
-        hubs = free.groupBy("band").agg(best).select("band", (-F.col("best.node")).alias("hub"))
+        hubs = free.groupBy("band").agg(best, F.count(F.lit(1)).alias("n"))
+        hubs = hubs.select("band", (-F.col("best.node")).alias("hub"), "n")
         home = mates.select("band", F.col("node").alias("hub"), F.col("component").alias("home"))
         hubs = stage(hubs.join(home, ["band", "hub"]), "hubs")
-        pairs = mates.join(hubs, "band").where("component <> home").select("hub", "node").distinct()
+        pairs = _spread(mates, hubs, "band").where("component <> home").select("hub", "node").distinct()
         pairs = stage(pairs, "hub-pairs")
         if pairs.isEmpty():
             break
@@ -388,9 +409,9 @@ def near_duplicates(
 
 def _result(found: DataFrame, nodes: DataFrame, labels: DataFrame | None) -> DataFrame:
     if labels is not None:
-        nodes = nodes.join(labels, "node", "left").select("digest", F.coalesce("component", "node").alias("node"))
-    sized = found.drop("bands").join(nodes, "digest", "left")
-    single = (F.col("n_shingles") == 0) | F.col("doc_id").isNull()
-    component = F.when(single, F.col("doc_id")).otherwise(F.col("node")).alias("component_id")
-    kept = F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")
-    return sized.select("doc_id", "n_shingles", component).select("*", kept)
+        named = nodes.join(labels, "node", "left").select("digest", "n", F.coalesce("component", "node").alias("node"))
+        nodes = stage(named, "nodes")
+    found, alone = found.drop("bands"), (F.col("n_shingles") == 0) | F.col("doc_id").isNull()
+    met = _spread(found.where(~alone), nodes, "digest").select("doc_id", "n_shingles", F.col("node").alias("component_id"))
+    rest = found.where(alone).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return met.union(rest).select("*", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
