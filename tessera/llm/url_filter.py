@@ -10,7 +10,9 @@ encodes the listed keys, level 2 the universe keys that level 1 wrongly
 reports, level 3 the listed keys that level 2 reports, and so on until a level
 reports nothing wrong. Within the universe, membership is then exact: the first
 level that denies a key decides it. The url table is filtered by expressions
-over literals, without a join.
+over literals, without a join. Lists whose first level would take more than a
+bound of bits are dealt to shards by a hash of the key, each with cascades of
+its own over its share of the universe, and the table passes the shards in turn.
 
 Defined results: a null url, or one without ``://``, has an empty host and path
 and fits no rule. Rows are kept as they are, repeated ones included, and other
@@ -27,9 +29,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import lower_ascii, stage
+from tessera.llm.common import drop_path, lower_ascii, scratch_path, stage
 
-#: Bits of one cascade that may be placed in a plan as literals (1 MiB).
+#: Bits of a cascade's first level (the others are smaller) that are placed in a plan as literals, about (1 MiB).
 MAX_BITS = 8 << 20
 WORD = 32
 
@@ -79,31 +81,29 @@ class BloomLevel:
         return reduce(lambda a, b: a & b, tests)
 
 
-class BloomCascade:
-    """Exact membership in `listed` for every key of `universe`.
+def miss_rate(n_listed: int, n_other: int) -> float:
+    """Of the first level: the false positives should be about as many as the listed keys."""
+    return min(0.5, n_listed / (max(1, n_other) * math.sqrt(2)))
 
-    universe and listed have one column, key, without repeats. size_bound is
-    the most bits a level may take; when a level needs more, build() gives
-    None and the caller takes its join instead.
-    """
+
+def level_bits(n: int, rate: float) -> int:
+    return max(64, math.ceil(-n * math.log(rate) / math.log(2) ** 2)) if n else 0
+
+
+class BloomCascade:
+    """Exact membership in `listed` for every key of `universe`; both have one column, key, without repeats."""
 
     def __init__(self, levels: list[BloomLevel]):
         self.levels = levels
 
     @classmethod
-    def build(cls, listed: DataFrame, universe: DataFrame, size_bound: int = MAX_BITS) -> "BloomCascade | None":
+    def build(cls, listed: DataFrame, universe: DataFrame) -> "BloomCascade":
         levels: list[BloomLevel] = []
-        n_listed = listed.count()
-        if not n_listed:
-            return cls([])
-        n_other = max(1, universe.count())
-        # first level: the false positives should be about as many as the listed keys
-        rate = min(0.5, max(1e-6, n_listed / (n_other * math.sqrt(2))))
-        inside, n_inside, outside = listed, n_listed, universe
+        n_inside = listed.count()
+        rate = miss_rate(n_inside, universe.count()) if n_inside else 0.5
+        inside, outside = listed, universe
         while n_inside:
-            bits = max(64, math.ceil(-n_inside * math.log(rate) / math.log(2) ** 2))
-            if bits > size_bound:
-                return None
+            bits = level_bits(n_inside, rate)
             level = BloomLevel(len(levels), bits, max(1, round(bits / n_inside * math.log(2)))).fill(inside)
             levels.append(level)
             wrong = outside.where(level.has(F.col("key")))
@@ -158,25 +158,34 @@ def judge_urls(
         for v in ("allow", "block")
     }
     universe = stage(urls.select(F.explode(keys).alias("k")).select("k.key").distinct(), "url-universe")
-    cascades = {v: BloomCascade.build(listed[v], universe, size_bound) for v in listed}
-    if any(c is None for c in cascades.values()):
-        return _judge_by_join(urls, rules, keys, default)
-    allow, block = cascades["allow"], cascades["block"]
-
-    best = F.array_max(F.filter(keys, lambda k: allow.has(k["key"]) | block.has(k["key"])))
-    out = urls.withColumn("rule", best["key"])
-    verdict = F.when(F.col("rule").isNull(), F.lit(default)).when(block.has(F.col("rule")), "block").otherwise("allow")
-    return out.withColumn("verdict", verdict)
-
-
-def _judge_by_join(urls, rules, keys, default) -> DataFrame:
-    """For lists whose filters exceed the bound: the same answer by a shuffled join on the keys."""
-    table = rules.groupBy(F.concat("host", "path").alias("__key")).agg(F.max("verdict").alias("__verdict"))
-    row = F.monotonically_increasing_id()
-    whole = stage(urls.withColumns({"__keys": keys, "__row": row}), "url-rows")
-    hits = whole.select("__row", F.explode("__keys").alias("k")).select("__row", "k.*")
-    hits = hits.join(table, hits["key"] == table["__key"])
-    best = hits.groupBy("__row").agg(F.max(F.struct("size", "host_size", "key", "__verdict")).alias("b"))
-    out = whole.drop("__keys", "rule", "verdict").join(best, "__row", "left")
-    out = out.withColumn("rule", F.col("b.key"))
-    return out.withColumn("verdict", F.coalesce(F.col("b.__verdict"), F.lit(default))).drop("b", "__row")
+    n_other, n_listed = universe.count(), [t.count() for t in listed.values()]
+    bits = max(level_bits(n, miss_rate(n, n_other)) for n in n_listed if n)
+    shards = max(1, -(-bits // size_bound))
+
+    spark, best, before = urls.sparkSession, None, None
+    for shard in range(shards):
+        mine = F.pmod(F.xxhash64(F.lit(-1), "key"), F.lit(shards)) == shard
+        cascades = {v: BloomCascade.build(t.where(mine), universe.where(mine)) for v, t in listed.items()}
+        found = _fitting(keys, cascades, shard, shards)
+        best = found if best is None else F.greatest("rule", found)  # rule holds the best of the shards before
+        urls = urls.withColumn("rule", best)
+        if shards > 1:
+            path = scratch_path(spark, "url-rows")
+            urls = stage(urls, "url-rows", path)
+            if before:
+                drop_path(spark, before)
+            before = path
+    verdict = F.coalesce(F.col("rule.verdict"), F.lit(default))
+    return urls.withColumns({"rule": F.col("rule.key"), "verdict": verdict})
+
+
+def _fitting(keys: Column, cascades: dict[str, BloomCascade], shard: int, shards: int) -> Column:
+    """The longest of the keys that a shard lists, with its verdict, or null."""
+
+    def judged(k):
+        verdict = F.when(cascades["block"].has(k["key"]), "block").when(cascades["allow"].has(k["key"]), "allow")
+        if shards > 1:
+            verdict = F.when(F.pmod(F.xxhash64(F.lit(-1), k["key"]), F.lit(shards)) == shard, verdict)
+        return F.struct(k["size"].alias("size"), k["host_size"].alias("host_size"), k["key"].alias("key"), verdict.alias("verdict"))
+
+    return F.array_max(F.filter(F.transform(keys, judged), lambda k: k["verdict"].isNotNull()))
