@@ -16,9 +16,9 @@ documents of a language, quartiles of its logarithm are found from an exact
 histogram; the bands are BAND_LOW and BAND_HIGH times the quartile distance
 beyond the quartiles, times sqrt(1 + ROUGH / bytes) for the document at hand.
 Documents below (repetitive, degenerate) or above (gibberish) are rejected. A
-language with fewer than LEAST documents takes the bands of all documents. The
-base rules of `base_rules` come first, and documents that fail them are left out
-of the bands.
+language's quartiles are rough when it has few documents, so they are averaged
+with those of all documents, which count as PRIOR documents. The base rules come
+first, and documents that fail them are left out of the bands.
 
 Defined results: a null or empty text has no words and fails the base rules. A
 null language is a language of its own. Null and repeated ids are carried
@@ -40,8 +40,10 @@ from tessera.llm.common import stage
 ORDER = 5
 #: Singletons are pruned from levels[PRUNED] on.
 PRUNED = 2
-#: Width of the bands beyond the quartiles, in quartile distances, and documents that a language needs.
-BAND_LOW, BAND_HIGH, LEAST = 4.0, 2.5, 100
+#: Width of the bands beyond the quartiles, in quartile distances.
+BAND_LOW, BAND_HIGH = 4.0, 2.5
+#: Documents that the quartiles of all documents count as beside a language's own.
+PRIOR = 100
 #: Bytes below which a text's perplexity is a rough estimate, so that its bands are wider.
 ROUGH = 800
 #: Rows of bands, one a language, that are sent to all executors.
@@ -259,12 +261,13 @@ def _judged(scored: DataFrame) -> DataFrame:
     scored = stage(scored.drop("logp"), "quality")
     edges = bands(scored)
     sides = ["q1", "q3", "wide"]
-    own = edges.where(~F.col("all") & (F.col("total") >= LEAST)).select(F.col("lang").alias("of"), *sides)
+    own = edges.where(~F.col("all")).select(F.col("lang").alias("of"), "total", *sides)
     every = edges.where("all").first()  # one row: the bands of all documents
     few = own.count() <= MAX_LANGUAGES  # else the join is shuffled
     got = scored.join(F.broadcast(own) if few else own, F.col("lang").eqNullSafe(F.col("of")), "left").drop("of")
-    q1, q3, wide = (F.coalesce(c, F.lit(every and every[c]).cast("double")) for c in sides)
+    n = F.coalesce("total", F.lit(0))
+    q1, q3, wide = ((n * F.coalesce(c, F.lit(0)) + PRIOR * F.lit(every and every[c])) / (n + PRIOR) for c in sides)
     wide = wide * F.sqrt(1 + F.lit(float(ROUGH)) / F.col("signs"))
     inside = F.col("step").between(q1 - BAND_LOW * wide, q3 + BAND_HIGH * wide)
     kept = F.coalesce(~F.col("base_failed") & inside, F.lit(False))
-    return got.withColumn("kept", kept).drop("step", "signs", *sides)
+    return got.withColumn("kept", kept).drop("step", "signs", "total", *sides)
