@@ -226,7 +226,7 @@ def tokenize_ranges(
             return batch(_CHUNK_ARROW, [[part], [seq], [names], [sizes], [kind + tool.compress(body)]])
 
         total = 0
-        for b in slices(batches, most_rows=500, most_bytes=1 << 20):  # compressed
+        for b in slices(batches, most_rows=1000, most_bytes=2 << 20):  # compressed
             texts = [unzip.decompress(z).decode("utf-8", "surrogatepass") for z in b.column(2).to_pylist()]
             for own, name, got in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), encoder.encode(texts), strict=True):
                 if own != part:

@@ -13,9 +13,11 @@ from __future__ import annotations
 import json
 import os
 import re
-from itertools import chain
+from itertools import groupby
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
 _loaded: dict[tuple, object] = {}
@@ -81,19 +83,20 @@ class ByteLevelEncoder(Vocabulary):
 class WordEndEncoder(Vocabulary):
     """BPE over lower-cased words whose last sign carries an end mark; white space is dropped.
 
-    Words are found by the vocabulary's pattern; the distinct ones of the texts
-    at hand are joined with an end mark and a space after each, and one call
-    encodes them. The mark is a private sign, whose bytes merge before all others.
-    Texts with signs beyond PLAIN are cut at spaces, which no token crosses, and
-    only the pieces with such signs go to the library.
+    Words are found by the vocabulary's pattern, in the bytes of all texts at hand
+    at once; the distinct ones are joined with an end mark and a space after each,
+    and one call encodes them. The mark is a private sign, whose bytes merge before
+    all others. Texts with signs beyond PLAIN are cut at spaces, which no token
+    crosses, and only the pieces with such signs go to the library.
     """
 
     END = "\uf8ff"
-    #: Fixed pattern of the vocabulary.
-    PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"""
-    ASCII = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\\sa-z0-9]+")  # the same for printable ASCII
+    #: Of the vocabulary's fixed pattern, 's|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+: kinds of signs, and endings.
+    SPACE, LETTER, NUMBER, OTHER = range(4)
+    KINDS = regex.compile(r"(\s)|(\p{L})|(\p{N})|([^\s\p{L}\p{N}])")
+    ENDINGS = (b"s", b"t", b"m", b"d", b"re", b"ve", b"ll")
     #: Signs for which composing and lower-casing act on each alone.
-    PLAIN = regex.compile("[\n\x20-\x7e\xa1-ɏ]*")
+    PLAIN = re.compile("[\n\x20-\x7e\xa1-ɏ]*")
 
     def __init__(self, path: str):
         super().__init__(path)
@@ -112,41 +115,71 @@ class WordEndEncoder(Vocabulary):
         self.core = tiktoken.Encoding("word-end", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})
         self.closes = np.zeros(max(self.ids.values()) + 1, bool)
         self.closes[[at for token, at in self.ids.items() if token.endswith("</w>")]] = True
-        self.words = regex.compile(self.PATTERN)
-
-    def _found(self, text: str) -> list[str]:
-        return (self.ASCII if text.isascii() else self.words).findall(text.lower())
-
-    def _plain(self, found: list[list[str]]) -> list[bytes]:
-        """Ids of each list of words."""
-        index = {w: i for i, w in enumerate(dict.fromkeys(chain.from_iterable(found)))}
-        if not index:
-            return [b""] * len(found)
-        marked = f"{self.END} ".join(index) + self.END
+        lowered = {c for at in range(0x250) if self.PLAIN.fullmatch(chr(at)) for c in chr(at).lower()}
+        self.kinds = np.zeros(ord(max(lowered)) + 1, np.uint8)
+        for c in lowered:
+            self.kinds[ord(c)] = self.KINDS.fullmatch(c).lastindex - 1
+        self.kinds_of_bytes = self.kinds[:128].tobytes() + bytes(128)
+
+    def _begins(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Kind of the sign of every byte, and whether a word or white space begins there; two line feeds end the data."""
+        kind = np.frombuffer(bytearray(data.tobytes().translate(self.kinds_of_bytes)), np.uint8)
+        lead = np.flatnonzero(data >= 0xC0)
+        if len(lead):  # signs of two bytes, or of three
+            a, b, c = (data[lead + k].astype(np.int32) for k in range(3))
+            three = a >= 0xE0
+            own = self.kinds[np.where(three, (a & 15) << 12 | (b & 63) << 6 | c & 63, (a & 31) << 6 | b & 63)]
+            kind[lead], kind[lead + 1] = own, own
+            kind[lead[three] + 2] = own[three]
+        begins = (kind == self.NUMBER) & ((data & 0xC0) != 0x80)
+        begins[0] = True
+        begins[1:] |= kind[1:] != kind[:-1]
+        quote = np.flatnonzero((data == ord("'")) & begins)  # elsewhere it goes on with the signs before
+        for ending in self.ENDINGS:
+            at = quote
+            for k, sign in enumerate(ending, 1):
+                at = at[data[at + k] == sign]
+            begins[at + 1] = False
+            begins[at + 1 + len(ending)] = True
+        return kind, begins
+
+    def _plain(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text of plain signs."""
+        lowered = [t.lower().encode() for t in texts]
+        data = np.frombuffer(b"\n".join([*lowered, b"", b""]), np.uint8)
+        kind, begins = self._begins(data)
+        at = np.flatnonzero(begins)
+        sizes, is_word = np.diff(at, append=len(data)), kind[at] != self.SPACE
+        edges = np.searchsorted(at[is_word], np.cumsum([0, *(len(r) + 1 for r in lowered)]))
+        upto = np.concatenate([[0], np.cumsum(sizes[is_word])])
+        words = [None, pa.py_buffer(upto), pa.py_buffer(data[kind != self.SPACE])]
+        found = pa.Array.from_buffers(pa.large_binary(), len(upto) - 1, words).dictionary_encode()
+        if not len(found):
+            return [b""] * len(texts)
+        distinct = pa.ListArray.from_arrays([0, len(found.dictionary)], found.dictionary.cast(pa.large_string()))
+        marked = pc.binary_join(distinct, pa.scalar(f"{self.END} ", pa.large_string()))[0].as_py() + self.END
         ids = np.frombuffer(self.core._core_bpe.encode_to_tiktoken_buffer(marked, set()), "<u4") - np.uint32(self.shift)
         closes = np.flatnonzero(self.closes[ids]) + 1
         begins = np.concatenate([[0], closes[:-1]])
-        edges = np.cumsum([0, *map(len, found)])
-        at = np.fromiter(map(index.__getitem__, chain.from_iterable(found)), np.int32, int(edges[-1]))
+        at = found.indices.to_numpy()
         sizes = (closes - begins)[at]
         upto = np.concatenate([[0], np.cumsum(sizes)])
-        raw = ids[np.repeat(begins[at] - upto[:-1], sizes) + np.arange(upto[-1])].astype("<u4").tobytes()
+        raw = ids[np.repeat(begins[at] - upto[:-1], sizes) + np.arange(upto[-1])].astype("<u4", copy=False).tobytes()
         cuts = (4 * upto[edges]).tolist()
         return [raw[a:b] for a, b in zip(cuts, cuts[1:])]
 
     def _mixed(self, text: str) -> bytes:
-        out, plain = [], []
-        for piece in text.split(" "):
-            if self.PLAIN.fullmatch(piece):
-                plain += self._found(piece)
-            else:
-                out += [*self._plain([plain]), self.whole(piece)]
-                plain = []
-        return b"".join([*out, *self._plain([plain])])
+        pieces, out = text.split(" "), []
+        for at in range(0, len(pieces), 10000):
+            found = groupby(pieces[at : at + 10000], key=lambda piece: bool(self.PLAIN.fullmatch(piece)))
+            runs = [(plain, " ".join(run)) for plain, run in found]
+            done = iter(self._plain([run for plain, run in runs if plain]))
+            out.append(b"".join(next(done) if plain else self.whole(run) for plain, run in runs))
+        return b"".join(out)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         plain = [not t or bool(self.PLAIN.fullmatch(t)) for t in texts]
-        done = iter(self._plain([self._found(t or "") for t, p in zip(texts, plain, strict=True) if p]))
+        done = iter(self._plain([t or "" for t, p in zip(texts, plain, strict=True) if p]))
         return [next(done) if p else self._mixed(t) for t, p in zip(texts, plain, strict=True)]
 
 

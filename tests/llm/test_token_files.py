@@ -1,5 +1,7 @@
 import heapq
 import random
+import re
+import time
 import zlib
 
 import numpy as np
@@ -8,6 +10,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from tessera.llm import token_files as tf
+from tessera.llm import vocab
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -92,3 +95,36 @@ def test_unbroken_runs(spark):
     library = Tokenizer.from_file(PATH)
     got = {r.doc_id: np.frombuffer(bytes(r.ids), "<u4").tolist() for r in tf.round_trip(docs, PATH).collect()}
     assert got == {i: library.encode(t, add_special_tokens=False).ids + [1] for i, t in rows}
+
+
+def test_words_of_plain_texts_equal_the_library():
+    rnd = random.Random(6)
+    encoder, library = vocab.encoder(vocab.WordEndEncoder, PATH), Tokenizer.from_file(PATH)
+    library.encode_special_tokens = True
+    plain = [c for c in map(chr, range(0x250)) if encoder.PLAIN.fullmatch(c)]
+    signs = ["'s", "'t", "'re", "'ve", "'m", "'ll", "'d", "'S", "'LL", "'", "''", ",'", "r", "l", "a", "1", "²", "ª", " ", "\n", "İ", "Ⱥ", "Ⱦ", "ǅ", "ŉ"]
+    texts = ["", None, "'", "'r", "'l", "'s", " ", "\n", *plain]
+    texts += ["".join(rnd.choice(signs if rnd.random() < 0.7 else plain) for _ in range(rnd.randint(0, 40))) for _ in range(3000)]
+    texts += ["".join(rnd.choice([*signs, "\t", "漢", "Σ", " x "]) for _ in range(rnd.randint(0, 40))) for _ in range(500)]
+    texts.append(" ".join(rnd.choices(["漢", "a", "x'll", ""], k=25000)))
+    for text, ids in zip(texts, encoder.encode(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == library.encode(text or "", add_special_tokens=False).ids, text
+    assert encoder.encode([]) == [] and encoder.encode([None, " "]) == [b"", b""]
+
+
+def test_encoding_takes_less_time_than_finding_words_one_by_one():
+    rnd = random.Random(5)
+    words = ["".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(1, 9))) for _ in range(3000)]
+    texts = [" ".join(rnd.choices(words, k=500)) for _ in range(500)]
+    encoder = vocab.encoder(vocab.WordEndEncoder, PATH)
+    found = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\\sa-z0-9]+")
+
+    def least(run):
+        taken = []
+        for _ in range(3):
+            begun = time.process_time()
+            run()
+            taken.append(time.process_time() - begun)
+        return min(taken)
+
+    assert least(lambda: encoder.encode(texts)) < least(lambda: [found.findall(t.lower()) for t in texts])
