@@ -117,20 +117,28 @@ def blended(mode: str, under: dict[str, Column], over: dict[str, Column], clamp:
     return {c: _single(mixed[c] * share) for c in names} | {"a": whole}
 
 
-def _corners(axis: str, source: int, target: int) -> Column:
-    """For each target position the two source positions beside its centre, with weights."""
-    at = F.least(F.greatest((F.col(axis) + 0.5) * source / target - 0.5, F.lit(0.0)), F.lit(float(source - 1)))
-    first = F.floor(at)
-    second = F.least(first + 1, F.lit(source - 1))
-    return F.array(F.struct(first.alias("at"), (1.0 - (at - first)).alias("w")), F.struct(second.alias("at"), (at - first).alias("w")))
+def _reached(axis: str, source: int, target: int, name: str) -> Column:
+    """The target positions d that have a source position as a corner, its weight w of 2 * target parts, and their number of corners n."""
+    x, parts = F.col(axis), 2 * target
+    first = lambda n: F.ceil((parts * (x + n) + target - source) / (2 * source)).cast("bigint")
+    low, high = F.when(x > 1, first(-1)).otherwise(0).cast("bigint"), F.when(x < source - 1, first(1) - 1).otherwise(target - 1).cast("bigint")
+    at = lambda d: F.least(F.greatest((2 * d + 1) * source - target, F.lit(0)), F.lit(parts * (source - 1))).cast("bigint")
+    told = lambda d: F.struct(d.alias("d"), (parts - F.abs(at(d) - parts * x)).alias("w"), F.when(at(d) < parts * (source - 1), 2).otherwise(1).cast("bigint").alias("n"))
+    return F.when(x.between(0, source - 1) & (low <= high), F.transform(F.sequence(low, F.greatest(low, high)), told)).alias(name)
 
 
 def resampled(px: DataFrame, width: int, height: int, to_width: int, to_height: int) -> DataFrame:
-    """Bilinear resampling of images with their centres aligned; an equi-join on source positions and one sum a pixel."""
-    axis = lambda n, name: F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))).alias(name)
-    grid = px.select("img_id").distinct().select("img_id", axis(to_width, "x")).select("img_id", "x", axis(to_height, "y"))
-    wanted = grid.select("*", F.explode(_corners("x", width, to_width)).alias("cx")).select("*", F.explode(_corners("y", height, to_height)).alias("cy"))
-    wanted = wanted.select("img_id", F.col("x").alias("tx"), F.col("y").alias("ty"), F.col("cx.at").alias("x"), F.col("cy.at").alias("y"), (F.col("cx.w") * F.col("cy.w")).alias("w"))
-    sums = [F.floor(F.sum(F.col(c) * F.col("w")) + 0.5).alias(c) for c in CHANNELS]
-    met = wanted.join(px.select("img_id", "x", "y", *CHANNELS), ["img_id", "x", "y"])
-    return met.groupBy("img_id", "tx", "ty").agg(*sums).withColumnsRenamed({"tx": "x", "ty": "y"})
+    """Bilinear resampling of images with their centres aligned, exact and rounded once, halves up.
+
+    Each pixel is dealt to the target pixels that have it as one of their corners,
+    so nothing is joined or sent to the driver. A target pixel without all its
+    corners isn't there.
+    """
+    even = px.select("img_id", "x", "y", *CHANNELS).repartition(int(px.sparkSession.conf.get("spark.sql.shuffle.partitions")), "img_id")
+    dealt = even.select("img_id", F.explode(_reached("x", width, to_width, "cx")).alias("cx"), "y", *CHANNELS)
+    dealt = dealt.select("img_id", "cx", F.explode(_reached("y", height, to_height, "cy")).alias("cy"), *CHANNELS)
+    w, whole = F.col("cx.w") * F.col("cy.w"), F.lit(4 * to_width * to_height).cast("bigint")
+    sums = [F.sum(w * F.col(c)).alias(f"s{c}") for c in CHANNELS]
+    keys = [F.col("img_id"), F.col("cx.d").alias("x"), F.col("cy.d").alias("y")]
+    found = dealt.groupBy(*keys).agg(F.count(F.lit(1)).alias("met"), F.max(F.col("cx.n") * F.col("cy.n")).alias("corners"), *sums)
+    return found.where("met = corners").select("img_id", "x", "y", *(pm.rounded(f"s{c}", whole).alias(c) for c in CHANNELS))
