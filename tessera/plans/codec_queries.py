@@ -135,9 +135,7 @@ def q01_score_of_lossless(spark, d):
 @query(None)
 def q01_score_of_jpeg(spark, d):
     """Tiles against their JPEG form; real numbers, so without an exact oracle."""
-    t = px.tiles(spark, d)
-    left = images.encode_images(t, "png").withColumnRenamed("content", "left")
-    both = left.join(images.encode_images(t, "jpeg").withColumnRenamed("content", "right"), "img_id")
+    both = images.encode_forms(px.tiles(spark, d), {"left": "png", "right": "jpeg"})
     return images.quality_scores(both, "left", "right").select("img_id", "score")
 
 

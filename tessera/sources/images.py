@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from tessera.functions import pixel_math as pm
 from tessera.codec import Malformed, Refused, Unsupported, bmp, declared, gif, jpeg, jpeg_lossless, png, probe, scale, tiff, webp
 
-#: Rows of an Arrow slice that are decoded together, and pixel rows of one result batch.
-ROWS, PIXELS = 32, 1 << 18
+#: Rows of an Arrow slice that are decoded together, pixel rows of one result batch, and pixels that are scored together.
+ROWS, PIXELS, SCORED = 32, 1 << 18, 1 << 15
 
 INFO = (
     "status string, error string, format string, width int, height int, bit_depth int, has_alpha boolean, frame_count int, "
@@ -188,17 +188,26 @@ def _image(width, height, values) -> np.ndarray:
     return np.asarray(values, np.int64).astype(">u4").view(np.uint8).reshape(height, width, 4)
 
 
-def encode_images(px: DataFrame, form: str) -> DataFrame:
-    """img_id and content: pixel rows written as files of a format."""
-    work = ENCODERS[form]
+def encode_forms(px: DataFrame, forms: dict[str, str]) -> DataFrame:
+    """img_id and a column of files for each format by name: the pixels are gathered once."""
 
-    @F.pandas_udf("binary")
-    def run(w, h, v):
-        import pandas as pd
+    def written(form: str):
+        work = ENCODERS[form]
+
+        @F.pandas_udf("binary")
+        def run(w, h, v):
+            import pandas as pd
 
-        return pd.Series([work(_image(*row)) for row in zip(w, h, v, strict=True)])
+            return pd.Series([work(_image(*row)) for row in zip(w, h, v, strict=True)])
 
-    return _gathered(px, ["img_id"]).select("img_id", run("w", "h", "v").alias("content"))
+        return run("w", "h", "v")
+
+    return _gathered(px, ["img_id"]).select("img_id", *(written(form).alias(name) for name, form in forms.items()))
+
+
+def encode_images(px: DataFrame, form: str) -> DataFrame:
+    """img_id and content: pixel rows written as files of a format."""
+    return encode_forms(px, {"content": form})
 
 
 def encode_animations(fr: DataFrame, form: str, delay_ms: int = 100, plays: int = 0) -> DataFrame:
@@ -225,11 +234,25 @@ def quality_scores(pairs: DataFrame, reference_col: str, distorted_col: str, out
     def run(left, right):
         import pandas as pd
 
-        out = []
-        for a, b in zip(left, right, strict=True):
-            got = [guarded(lambda x=x: probe.decode(bytes(x)))[2] if x is not None else None for x in (a, b)]
-            same = got[0] is not None and got[1] is not None and got[0].shape == got[1].shape
-            out.append(quality.ssimulacra2(*got) if same else None)
+        out, waiting, held = [None] * len(left), {}, 0
+
+        def score():
+            for rows in waiting.values():
+                at, a, b = zip(*rows, strict=True)
+                for i, found in zip(at, quality.ssimulacra2_many(np.stack(a), np.stack(b)), strict=True):
+                    out[i] = found
+            waiting.clear()
+
+        for i, both in enumerate(zip(left, right, strict=True)):
+            a, b = (guarded(lambda x=x: probe.decode(bytes(x)))[2] if x is not None else None for x in both)
+            if a is None or b is None or a.shape != b.shape:
+                continue
+            if held and held + a[..., 0].size > SCORED:
+                score()
+                held = 0
+            waiting.setdefault(a.shape, []).append((i, a, b))
+            held += a[..., 0].size
+        score()
         return pd.Series(out, dtype="float64")
 
     return pairs.withColumn(out_col, run(F.col(reference_col), F.col(distorted_col)))
