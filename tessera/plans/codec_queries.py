@@ -126,9 +126,7 @@ def r15_webp_round_trip(spark, d):
 @query("SELECT vec_id AS img_id, 100.0::DOUBLE AS score FROM embeddings")
 def q01_score_of_lossless(spark, d):
     """Tiles as PNG against the same tiles as BMP: every score is 100."""
-    t = px.tiles(spark, d)
-    left = images.encode_images(t, "png").withColumnRenamed("content", "left")
-    both = left.join(images.encode_images(t, "bmp").withColumnRenamed("content", "right"), "img_id")
+    both = images.encode_forms(px.tiles(spark, d), {"left": "png", "right": "bmp"})
     return images.quality_scores(both, "left", "right").select("img_id", "score")
 
 

@@ -87,6 +87,6 @@ def test_scores_of_mixed_sizes_and_damage(spark):
 def test_tiles_are_gathered_once_and_not_joined(spark, sf_dir):
     from tessera.plans import catalog
 
-    for name in ("q01_score_of_jpeg",):
+    for name in ("q01_score_of_lossless", "q01_score_of_jpeg"):
         plan = catalog.queries()[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
         assert "Join" not in plan and plan.count("Exchange") == 1
