@@ -141,12 +141,8 @@ def q01_score_of_jpeg(spark, d):
 def e11_repack_keeps_pixels(spark, d):
     """Pixels of JPEG files before and after repacking; none may differ."""
     files = images.encode_images(px.tiles(spark, d), "jpeg")
-    before = images.decode_pixels(files)
-    after = images.decode_pixels(files.withColumn("content", images.repack_column(F.col("content"), progressive=True)))
-    both = before.alias("p").join(after.alias("q"), ["img_id", "x", "y"], "full_outer")
-    same = (F.col("p.r") == F.col("q.r")) & (F.col("p.g") == F.col("q.g")) & (F.col("p.b") == F.col("q.b"))
-    wrong = F.sum(F.when(F.coalesce(same, F.lit(False)), 0).otherwise(1)).cast("bigint")
-    return both.groupBy("img_id").agg(wrong.alias("different"))
+    both = files.withColumn("repacked", images.repack_column(F.col("content"), progressive=True))
+    return images.differing_pixels(both, "content", "repacked")
 
 
 @query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN lang END AS xmp, CASE WHEN doc_id % 3 = 0 THEN 500 + doc_id % 100 END AS video_length FROM documents")

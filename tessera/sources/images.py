@@ -258,6 +258,31 @@ def quality_scores(pairs: DataFrame, reference_col: str, distorted_col: str, out
     return pairs.withColumn(out_col, run(F.col(reference_col), F.col(distorted_col)))
 
 
+def differing_pixels(pairs: DataFrame, left_col: str, right_col: str, id_col: str = "img_id") -> DataFrame:
+    """img_id and different: pixels whose colours differ between two columns of files, or that only one has; no row where neither decodes."""
+    schema = pa.schema([("img_id", pa.int64()), ("different", pa.int64())])
+
+    def counted(a, b):
+        if a is None or b is None:
+            return (b if a is None else a)[..., 0].size
+        height, width = (min(n, m) for n, m in zip(a.shape[:2], b.shape[:2]))
+        wrong = (a[:height, :width, :3] != b[:height, :width, :3]).any(-1).sum()
+        return int(wrong) + a[..., 0].size + b[..., 0].size - 2 * height * width
+
+    def run(batches):
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS):
+                rows = []
+                for img_id, *both in zip(*(c.to_pylist() for c in whole.slice(at, ROWS).columns), strict=True):
+                    a, b = (guarded(lambda d=data: probe.decode(d))[2] if data is not None else None for data in both)
+                    if img_id is not None and (a is not None or b is not None):
+                        rows.append((img_id, counted(a, b)))
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], schema=schema)
+
+    return pairs.select(F.col(id_col).cast("bigint"), left_col, right_col).mapInArrow(run, "img_id bigint, different bigint")
+
+
 def repack_column(content: Column, progressive: bool = False) -> Column:
     """JPEG files with smaller codes and the same pixels; other bytes come back as they are."""
 
