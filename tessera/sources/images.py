@@ -47,10 +47,17 @@ def claims_column(content: Column, prefix: int = 1 << 16) -> Column:
     TIFF and JPEG 2000, whose headers may lie further on, are taken if the probe fails.
     """
     form = pm.sniff(content)
-    head = F.when(form == "WEBP", content).otherwise(F.substring(content, 1, prefix))
-    info = probe_column(head)
-    failed = (info["status"] != "ok") & form.isin("TIFF", "JP2")
-    return F.coalesce((info["status"] == "ok") & info["is_decodable"], F.lit(False)) | F.coalesce(failed, F.lit(False))
+    head = F.when(form == "WEBP", content).when(form.isNotNull(), F.substring(content, 1, prefix))
+
+    @F.arrow_udf("boolean")
+    def run(forms, heads):  # one file at a time is copied out of the Arrow batch, and only the answer is kept
+        taken = []
+        for form, x in zip(forms, heads, strict=True):
+            status, _, got = guarded(lambda x=x: probe.probe(x.as_py())) if x.is_valid else ("malformed", None, None)
+            taken.append(got["is_decodable"] if status == "ok" else x.is_valid and form.as_py() in ("TIFF", "JP2"))
+        return pa.array(taken, pa.bool_())
+
+    return run(form, head)
 
 
 def guarded(work):
